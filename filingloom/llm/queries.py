@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import chat_format, quality_rules, url_filters
+from filingloom.llm import byte_bpe, chat_format, minhash, packing, quality_rules, url_filters
 from filingloom.llm.common import table
 
-_WORD = "[^\\x20\\x09-\\x0D]+"
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +40,26 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": op5_quality_rules,
         "op6_url_filters": op6_url_filters,
         "op7_chat_format": op7_chat_format,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
