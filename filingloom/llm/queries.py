@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import byte_bpe, chat_format, minhash, packing, quality_rules, url_filters
+from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, quality_model, quality_rules, url_filters, warc
 from filingloom.llm.common import table
 
 
@@ -17,6 +17,27 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("removed_chunks").cast("long").alias("removed_chunks"), F.col("removed_lines").cast("long").alias("removed_lines"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    last = warc.read_chunks(manifest, with_data=False).where("is_last")
+    return last.select("page_id", "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_model.classify(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
+
+
+def op4_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.search(graph_ann.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
@@ -54,6 +75,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_warc": op2_warc,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_graph_ann": op4_graph_ann,
         "op5_quality_rules": op5_quality_rules,
         "op6_url_filters": op6_url_filters,
         "op7_chat_format": op7_chat_format,
@@ -95,5 +120,22 @@ FROM m GROUP BY conv_id
 """
 
 
+_OP1 = """
+WITH l AS (
+  SELECT doc_id, i - 1 AS i, lines[i] AS line, len(lines) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+h AS (SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) AS r, lead(length(line)) OVER w AS next_len FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, coalesce(i = n - 1 OR length(line) >= 240 OR next_len >= 240 OR (r < lag(r) OVER w AND r < lead(r) OVER w), false) AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
+k AS (SELECT doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, pos),
+g AS (SELECT *, (lines > 1 OR length(chunk) >= 240) AND regexp_matches(chunk, '[^ \t\n\x0B\f\r]') AND row_number() OVER (PARTITION BY chunk, (lines > 1 OR length(chunk) >= 240) ORDER BY doc_id, pos) > 1 AS gone FROM k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, x.removed_chunks, x.removed_lines
+FROM documents d JOIN (
+  SELECT doc_id, string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY pos) AS text,
+    CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS removed_chunks, CAST(sum(CASE WHEN gone THEN lines ELSE 0 END) AS BIGINT) AS removed_lines
+  FROM g GROUP BY doc_id) x USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _OP6, "op7_chat_format": _OP7}
+    return {"op1_line_dedup": _OP1, "op6_url_filters": _OP6, "op7_chat_format": _OP7}
