@@ -64,11 +64,11 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
 def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose ``row_key`` is in ``rejected`` (columns ``_id`` and ``_h``).
 
-    The rejected keys are a small share of the rows; the planner broadcasts them
-    only below its own size threshold and else merges by the key.
+    Both sides are merged by the key at any size, so that nothing that grows
+    with the data is broadcast.
     """
     i, h = row_key(F.col(id_col), F.col(text_col))
     names = docs.columns
     keyed = docs.select("*", i.alias("__key_id"), h.alias("__key_h"))
     gone = rejected.select(F.col("_id").alias("__key_id"), F.col("_h").alias("__key_h")).distinct()
-    return keyed.join(gone, ["__key_id", "__key_h"], "left_anti").select(*names)
+    return keyed.join(gone.hint("merge"), ["__key_id", "__key_h"], "left_anti").select(*names)

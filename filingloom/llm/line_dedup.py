@@ -101,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     gone = materialise(gone, "removals")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
-    joined = rows.join(gone, ["_id", "_h"], "left")
+    joined = rows.join(gone.hint("merge"), ["_id", "_h"], "left")
     again = chunked(joined.select("_row", "_gone", F.col("_row")[id_col].alias("_i"), F.col("_row")[text_col].alias("_t")), "_i", "_t")
     kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
     lines = F.aggregate(F.transform("_gone", lambda k: F.get("_chunks", k)["lines"]), F.lit(0), lambda a, n: a + n)

@@ -17,10 +17,8 @@ from filingloom.llm.tokens import rounds
 WORDS = 5
 #: A signature: CHUNKS chunks of CHUNK components of 16 bits.
 CHUNKS, CHUNK = 16, 4
-#: Signatures that differ in at most so many components share a chunk with at most one error, also without their first shared chunk.
-MAX_DISTANCE = 2 * CHUNKS - 3
-#: A bucket is split by a second chunk if it would give more pairs than this, times its members.
-PAIRS_A_MEMBER = 64
+#: Signatures that differ in at most so many components have at most one error in some chunk.
+MAX_DISTANCE = 2 * CHUNKS - 1
 #: The ids of documents whose sets are fetched are broadcast up to so many (16 MB or so); beyond it the planner joins.
 BROADCAST_IDS = 500_000
 
@@ -148,18 +146,22 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # 100 * i >= 75 * u needs the smaller set to hold three quarters of the larger.
-    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_differing(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE + 2)
+    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_differing(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE)
     return both.where(fits).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets have at least three quarters in common; ``docs`` has ``node`` and ``text``."""
-    pairs = materialise(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The shingle sets of the nodes in ``ids``."""
     ids = materialise(ids, "needed")
     small = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if small else ids, "node", "left_semi")
-    sets = materialise(wanted.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
+    return materialise(wanted.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose full shingle sets have at least three quarters in common; ``docs`` has ``node`` and ``text``."""
+    pairs = materialise(pairs, "candidates")
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common)
@@ -179,10 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        with every component left out. In each bucket all members are first
        compared with its smallest member only, so a group of near copies gives
        as many pairs as members.
-    3. Members of one bucket in different components so far are then compared
-       with each other. A bucket that would give many such pairs is split by
-       the keys of the other chunks, which the pigeonhole allows too.
-    4. Pairs near enough by signature and size are confirmed on full sets.
+    3. The same again with a member drawn by the bucket's key, for members of
+       other components.
+    4. Members of one bucket that are in different components still are compared
+       with each other, if what they share with any member allows a link.
+    5. Pairs near enough by signature and size are confirmed on full sets.
 
     Nothing is capped or sampled. Empty and null texts have no shingles and are
     linked with nothing. Rows that repeat an id are one document. Rows with a
@@ -207,7 +210,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialise(keys.join(shared, "key"), "buckets")
     star = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(_confirmed(_near(star, reps), texts), "star_links")
-    rest = _residual(buckets.where("members > 2"), reps, components(links))
+    labels = components(links)
+    # Again with other pivots: in each bucket a member drawn by the bucket's key, for those in another component.
+    drawn = buckets.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    drawn = materialise(drawn, "labelled_buckets")
+    order = F.xxhash64("key", "node")
+    pick = drawn.groupBy("key").agg(F.min_by(F.struct("node", "label"), order).alias("p"))
+    again = drawn.join(pick, "key").where("label != p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    links = materialise(links.union(_confirmed(_near(again, reps), texts)), "links")
+    rest = _residual(buckets.where("members > 2"), reps, components(links), texts)
     more = materialise(_confirmed(_near(rest, reps), texts), "more_links")
     labels = materialise(components(links.union(more)), "labels")
     # Only groups with copies or links need a lookup; all other rows are their own component.
@@ -223,26 +234,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components, none of them with the pivot."""
+def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket that are in different components and may be linked.
+
+    A link needs three quarters of either set in common, so shingles that no
+    other member of these buckets has bound what a node can share: with ``s``
+    shared shingles at most ``s`` are common. Members that are boilerplate and
+    otherwise their own, or copies changed too much, go before any pair is made.
+    """
     labelled = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("label", "node").alias("label"))
-    per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = (
-        per_label.groupBy("key")
-        .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels"))
-        .where("labels > 1")
-        .select("key", (F.col("n") * F.col("n") - F.col("same") > 2 * PAIRS_A_MEMBER * F.col("n")).alias("large"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    members = materialise(labelled.join(mixed, "key"), "mixed_buckets")
+    nodes = members.select("node").distinct()
+    sets = _sets(nodes, texts)
+    own = (
+        sets.select("node", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1")
+        .groupBy("node").agg(F.count("*").alias("own"))
+    )
+    able = (
+        nodes.join(reps, "node").join(own, "node", "left")
+        .select("node", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
+        .where("4 * s >= 3 * n")
     )
-    members = materialise(labelled.join(mixed, "key").where("node != pivot").select("key", "node", "label", "large"), "mixed_buckets")
-    other_keys = F.array(*[k for c in range(CHUNKS) for k in _chunk_keys(c, F.col("key"))])
-    split = members.where("large").join(reps.select("node", "sig"), "node").select(F.explode(other_keys).alias("key"), "node", "label")
-    small = members.where("NOT large").select("key", "node", "label").union(split)
-    left = small.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return left.join(right, "key").where("label_a != label_b AND a < b").select("a", "b").distinct()
+    rows = materialise(members.join(able, "node"), "able_members")
+    side = lambda c: rows.select("key", "pivot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "s")])
+    left, right = side("a"), side("b").drop("pivot")
+    most = F.least("s_a", "s_b")
+    may = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("node_a") != F.col("pivot")) & (4 * most >= 3 * (F.col("n_a") + F.col("n_b") - most))
+    near = _differing(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE
+    pairs = left.withColumnRenamed("key", "key_a").join(right.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & may & near)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the rows whose id is their component's."""
     found = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    return docs.join(found.hint("merge"), id_col, "left_anti")
