@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise
+from filingloom.llm.common import let, materialise
 from filingloom.llm.components import components
 from filingloom.llm.tokens import rounds
 
@@ -110,7 +110,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 512)
             sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
             sig = signatures(sets)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * sig.shape[1]), pa.array(sig.reshape(-1)))
+            longs = np.ascontiguousarray(sig).view("<i8")  # a chunk is one long
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CHUNKS), pa.array(longs.reshape(-1)))
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, lists], names=names)
 
@@ -125,20 +126,37 @@ def _only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "shingles"])
 
 
-def _component(k: int) -> Column:
-    return F.get("sig", F.lit(k))
+def _chunk_keys(chunk: int) -> list[Column]:
+    """Keys of a chunk with each of its components left out: chunks with at most one error share one."""
+    lanes = [~(0xFFFF << 16 * out) for out in range(CHUNK)]
+    signed = [x & (2**64 - 1) for x in lanes]
+    return [F.xxhash64(F.lit(chunk * CHUNK + out), F.get("sig", F.lit(chunk)).bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))) for out, m in enumerate(signed)]
 
 
-def _chunk_keys(chunk: int, salt: Column) -> list[Column]:
-    """Keys of a chunk with each of its components left out: chunks with at most one error share one."""
-    return [
-        F.xxhash64(salt, F.lit(chunk * CHUNK + out), *[_component(chunk * CHUNK + k) for k in range(CHUNK) if k != out])
-        for out in range(CHUNK)
-    ]
+def _errors(a: Column, b: Column) -> Column:
+    """Components that differ in each chunk."""
+
+    def of_chunk(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        lanes = [F.when(d.bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)) != 0, 1).otherwise(0) for m in (0xFFFF << 16 * k for k in range(CHUNK))]
+        return sum(lanes[1:], lanes[0])
+
+    return F.zip_with(a, b, of_chunk)
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _total(errors: Column) -> Column:
+    return F.aggregate(errors, F.lit(0), lambda s, x: s + x)
+
+
+def _near_and_first(slot: Column, a: Column, b: Column) -> Column:
+    """Whether signatures are near and the bucket number ``slot`` (chunk * CHUNK + component left out) is the first that they share."""
+    chunk = F.floor(slot / CHUNK).cast("int")
+    return let(
+        _errors(a, b),
+        lambda e: (_total(e) <= MAX_DISTANCE)
+        & ((slot % CHUNK == 0) | (F.get(e, chunk) > 0))
+        & (F.array_position(F.transform(e, lambda v: v <= 1), True) == chunk + 1),
+    )
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -146,7 +164,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # 100 * i >= 75 * u needs the smaller set to hold three quarters of the larger.
-    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_differing(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE)
+    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_total(_errors(F.col("sig_a"), F.col("sig_b"))) <= MAX_DISTANCE)
     return both.where(fits).select("a", "b").distinct()
 
 
@@ -194,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     feats = materialise(
-        texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_features, "doc_id bigint, n bigint, set_hash binary, sig array<smallint>"), "features"
+        texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_features, "doc_id bigint, n bigint, set_hash binary, sig array<bigint>"), "features"
     )
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     groups = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
@@ -204,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full.join(groups, (full["doc_id"] == groups["node"]) & (full["set_hash"] == groups["set_hash"]), "left_semi")
         .select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node", "n"]), "nodes",
     )
-    keys = reps.select("node", F.explode(F.array(*[k for c in range(CHUNKS) for k in _chunk_keys(c, F.lit(0))])).alias("key"))
+    keys = reps.select("node", F.posexplode(F.array(*[k for c in range(CHUNKS) for k in _chunk_keys(c)])).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     shared = materialise(shared, "shared_keys")
     buckets = materialise(keys.join(shared, "key"), "buckets")
@@ -238,19 +256,22 @@ def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: Dat
     """Pairs of members of one bucket that are in different components and may be linked.
 
     A link needs three quarters of either set in common, so shingles that no
-    other member of these buckets has bound what a node can share: with ``s``
+    member of another component has bound what a node can share: with ``s``
     shared shingles at most ``s`` are common. Members that are boilerplate and
     otherwise their own, or copies changed too much, go before any pair is made.
     """
-    labelled = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("label", "node").alias("label"))
+    labelled = buckets.join(labels, "node", "left").select("key", "slot", "node", "pivot", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     members = materialise(labelled.join(mixed, "key"), "mixed_buckets")
     nodes = members.select("node").distinct()
     sets = _sets(nodes, texts)
+    label_of = members.select("node", "label").distinct()
+    # A shingle that stands under one label only can't join two.
+    one = Window.partitionBy("shingle")
     own = (
-        sets.select("node", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1")
-        .groupBy("node").agg(F.count("*").alias("own"))
+        sets.join(label_of, "node").select("node", "label", F.explode("shingles").alias("shingle"))
+        .withColumn("alone", F.min("label").over(one) == F.max("label").over(one))
+        .where("alone").groupBy("node").agg(F.count("*").alias("own"))
     )
     able = (
         nodes.join(reps, "node").join(own, "node", "left")
@@ -258,11 +279,12 @@ def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: Dat
         .where("4 * s >= 3 * n")
     )
     rows = materialise(members.join(able, "node"), "able_members")
-    side = lambda c: rows.select("key", "pivot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "s")])
-    left, right = side("a"), side("b").drop("pivot")
+    side = lambda c: rows.select("key", "pivot", "slot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "s")])
+    left, right = side("a"), side("b").drop("pivot", "slot")
     most = F.least("s_a", "s_b")
     may = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("node_a") != F.col("pivot")) & (4 * most >= 3 * (F.col("n_a") + F.col("n_b") - most))
-    near = _differing(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE
+    # Each pair in the first bucket that it shares only.
+    near = _near_and_first(F.col("slot"), F.col("sig_a"), F.col("sig_b"))
     pairs = left.withColumnRenamed("key", "key_a").join(right.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & may & near)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
