@@ -18,8 +18,8 @@ def _ends(lines: Column) -> Column:
 
     The rolling hash at a line is taken over the hashes of it and the line
     before; a chunk ends where that hash is lower than at both neighbours, so
-    bounds depend on nearby lines only and shift with them. Long lines end the
-    chunk before them and their own.
+    bounds depend on nearby lines only and shift with them, but never before the
+    last line. Long lines end the chunk before them and their own.
     """
     # md5 gives an order that any engine can recompute.
     line_hash = F.transform(lines, lambda line: F.md5(line))
@@ -29,7 +29,7 @@ def _ends(lines: Column) -> Column:
 
         def pick(r: Column) -> Column:
             solo = lambda i: F.coalesce(F.length(F.get(lines, i)) >= SOLO_CHARS, F.lit(False))
-            low = lambda i: F.coalesce((F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1)), F.lit(False))
+            low = lambda i: F.coalesce((i < F.size(r) - 2) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1)), F.lit(False))
             every = F.sequence(F.lit(0), F.size(r) - 1)
             return F.filter(every, lambda i: (i == F.size(r) - 1) | solo(i) | solo(i + 1) | low(i))
 

@@ -125,7 +125,7 @@ WITH l AS (
   SELECT doc_id, i - 1 AS i, lines[i] AS line, len(lines) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
 h AS (SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) AS r, lead(length(line)) OVER w AS next_len FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, coalesce(i = n - 1 OR length(line) >= 240 OR next_len >= 240 OR (r < lag(r) OVER w AND r < lead(r) OVER w), false) AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, coalesce(i = n - 1 OR length(line) >= 240 OR next_len >= 240 OR (i < n - 2 AND r < lag(r) OVER w AND r < lead(r) OVER w), false) AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
 k AS (SELECT doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, pos),
 g AS (SELECT *, (lines > 1 OR length(chunk) >= 240) AND regexp_matches(chunk, '[^ \t\n\x0B\f\r]') AND row_number() OVER (PARTITION BY chunk, (lines > 1 OR length(chunk) >= 240) ORDER BY doc_id, pos) > 1 AS gone FROM k)
