@@ -19,6 +19,8 @@ WORDS = 5
 CHUNKS, CHUNK = 16, 4
 #: Signatures that differ in at most so many components have at most one error in some chunk.
 MAX_DISTANCE = 2 * CHUNKS - 1
+#: Longs of a set's parity bits.
+PARITY = 8
 #: The ids of documents whose sets are fetched are broadcast up to so many (16 MB or so); beyond it the planner joins.
 BROADCAST_IDS = 500_000
 
@@ -103,17 +105,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Bit i of a set: whether an odd number of its members falls to i. Sets differ in as many members as bits, at least."""
+    bits = PARITY * 64
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (_mix(np.concatenate(sets)) & np.uint64(bits - 1)).astype(np.int64) if sets else row
+    odd = np.bincount(row * bits + place, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view("<i8")
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix of longs as lists."""
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(values.reshape(-1)))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "set_hash", "sig"]
+    names = ["doc_id", "n", "set_hash", "sig", "odd"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
-            sig = signatures(sets)
-            longs = np.ascontiguousarray(sig).view("<i8")  # a chunk is one long
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CHUNKS), pa.array(longs.reshape(-1)))
+            sig = np.ascontiguousarray(signatures(sets)).view("<i8")  # a chunk is one long
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, lists], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, _lists(sig), _lists(parities(sets))], names=names)
 
 
 def _only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +174,21 @@ def _near_and_first(slot: Column, a: Column, b: Column) -> Column:
     )
 
 
+def _few_apart() -> Column:
+    """Whether sizes and parity bits of ``_a`` and ``_b`` allow a link; no link is lost by it.
+
+    100 * i >= 75 * u needs the smaller set to hold three quarters of the larger,
+    and sets that differ in at most a seventh of their sizes' sum.
+    """
+    bits = [F.bit_count(F.get("odd_a", F.lit(k)).bitwiseXOR(F.get("odd_b", F.lit(k)))) for k in range(PARITY)]
+    return (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * sum(bits[1:], bits[0]) <= F.col("n_a") + F.col("n_b"))
+
+
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures and sizes allow a link."""
-    side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    """Pairs (a, b) whose signatures, sizes and parity bits allow a link."""
+    side = lambda c: reps.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sig", "odd")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # 100 * i >= 75 * u needs the smaller set to hold three quarters of the larger.
-    fits = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_total(_errors(F.col("sig_a"), F.col("sig_b"))) <= MAX_DISTANCE)
+    fits = _few_apart() & (_total(_errors(F.col("sig_a"), F.col("sig_b"))) <= MAX_DISTANCE)
     return both.where(fits).select("a", "b").distinct()
 
 
@@ -203,7 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        other components.
     4. Members of one bucket that are in different components still are compared
        with each other, if what they share with any member allows a link.
-    5. Pairs near enough by signature and size are confirmed on full sets.
+    5. Pairs near enough by signature, size and parity bits are confirmed on full
+       sets. Each member that one set alone has turns one of 512 bits at most, so
+       bits that differ bound from below what the sets don't share, exactly.
 
     Nothing is capped or sampled. Empty and null texts have no shingles and are
     linked with nothing. Rows that repeat an id are one document. Rows with a
@@ -212,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     feats = materialise(
-        texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_features, "doc_id bigint, n bigint, set_hash binary, sig array<bigint>"), "features"
+        texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_features, "doc_id bigint, n bigint, set_hash binary, sig array<bigint>, odd array<bigint>"), "features"
     )
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     groups = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
@@ -220,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The row that gave a group its id has the group's signature.
     reps = materialise(
         full.join(groups, (full["doc_id"] == groups["node"]) & (full["set_hash"] == groups["set_hash"]), "left_semi")
-        .select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node", "n"]), "nodes",
+        .select(F.col("doc_id").alias("node"), "n", "sig", "odd").dropDuplicates(["node", "n"]), "nodes",
     )
     keys = reps.select("node", F.posexplode(F.array(*[k for c in range(CHUNKS) for k in _chunk_keys(c)])).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
@@ -237,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = drawn.join(pick, "key").where("label != p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
     links = materialise(links.union(_confirmed(_near(again, reps), texts)), "links")
     rest = _residual(buckets.where("members > 2"), reps, components(links), texts)
-    more = materialise(_confirmed(_near(rest, reps), texts), "more_links")
+    more = materialise(_confirmed(rest, texts), "more_links")
     labels = materialise(components(links.union(more)), "labels")
     # Only groups with copies or links need a lookup; all other rows are their own component.
     known = (
@@ -275,16 +301,16 @@ def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: Dat
     )
     able = (
         nodes.join(reps, "node").join(own, "node", "left")
-        .select("node", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
+        .select("node", "n", "sig", "odd", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
         .where("4 * s >= 3 * n")
     )
     rows = materialise(members.join(able, "node"), "able_members")
-    side = lambda c: rows.select("key", "pivot", "slot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "s")])
+    side = lambda c: rows.select("key", "pivot", "slot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "odd", "s")])
     left, right = side("a"), side("b").drop("pivot", "slot")
     most = F.least("s_a", "s_b")
     may = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("node_a") != F.col("pivot")) & (4 * most >= 3 * (F.col("n_a") + F.col("n_b") - most))
     # Each pair in the first bucket that it shares only.
-    near = _near_and_first(F.col("slot"), F.col("sig_a"), F.col("sig_b"))
+    near = _few_apart() & _near_and_first(F.col("slot"), F.col("sig_a"), F.col("sig_b"))
     pairs = left.withColumnRenamed("key", "key_a").join(right.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & may & near)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
