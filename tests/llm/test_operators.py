@@ -227,3 +227,12 @@ def test_minhash(spark, odd, empty):
     rows = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(odd).collect())
     assert rows == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
     assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(5)
+    one = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in (0, 1, 40, 180, 3000)]
+    other = [np.unique(np.concatenate([s[len(s) // 4 :], rng.integers(0, 2**63, 9, np.uint64)])) for s in one]
+    bits = [sum(int(x).bit_count() for x in row) for row in (minhash.parities(one) ^ minhash.parities(other)).view(np.uint64)]
+    assert all(b <= len(np.setxor1d(x, y)) for b, x, y in zip(bits, one, other, strict=True))
+    assert not minhash.parities([]).size
