@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from filingloom.plans import registry
+from filingloom.plans import grids, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
