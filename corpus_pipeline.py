@@ -30,10 +30,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A document whose every chunk stands elsewhere has no text left and goes;
     one that was empty before stays.
     """
-    done = line_dedup.line_dedup(docs.select(*docs.columns))
-    left = done.where("NOT (removed_chunks > 0 AND NOT coalesce(text, '') RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')")
-    changed = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return left.select(*[changed if c == "n_chars" else F.col(c) for c in docs.columns])
+    # Columns are numbered on the way through, so that none clashes with those that the operator adds.
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    done = line_dedup.line_dedup(docs.toDF(*own.values()), own["doc_id"], own["text"])
+    text = F.col(own["text"])
+    left = done.where(~((F.col("removed_chunks") > 0) & ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+    length = F.when(F.col("removed_chunks") > 0, F.length(text).cast("long"))
+    return left.select(*[(F.coalesce(length, F.col(k)) if c == "n_chars" else F.col(k)).alias(c) for c, k in own.items()])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with ``_`` at its end until no column of ``taken`` has it, whatever its case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a non-null text."""
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import let, materialise, row_key
+from filingloom.llm.common import fresh, let, materialise, row_key
 
 #: A line of so many characters (some fifty words) is a chunk by itself.
 SOLO_CHARS = 240
@@ -74,14 +74,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if the smallest and largest text under the digests are equal byte by byte.
 
     Digests alone are counted first (pre-aggregated); texts of repeated ones
-    are reduced to a smallest and largest for each task before they meet. The
-    one shuffle of whole texts is the last join, by document, and only if the
-    list of removals is too large to broadcast.
+    are reduced to a smallest and largest for each task before they meet. Whole
+    texts are shuffled by the last join, by document, at any size. The repeated
+    digests go to every task for the comparison up to ``BROADCAST_DIGESTS``;
+    beyond that both sides are merged by digest.
 
     Null texts stay null, empty ones empty; one short line is never removed;
     chunks of white space stay; rows that repeat an id and text keep the same
     chunks; an empty table gives no rows; other columns pass through unchanged.
-    A text keeps the line feeds between the chunks it keeps.
+    A text keeps the line feeds between the chunks it keeps. Where a column has the
+    name of an added one, that gets ``_`` at its end until it is new.
     """
     names = [c for c in docs.columns if c != text_col]
     parts = chunked(docs.select(id_col, text_col), id_col, text_col)
@@ -108,6 +110,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     return again.select(
         *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("removed_chunks") if "removed_chunks" not in names else F.coalesce(F.size("_gone"), F.lit(0)).alias("removed_chunks_"),
-        F.coalesce(lines, F.lit(0)).alias("removed_lines") if "removed_lines" not in names else F.coalesce(lines, F.lit(0)).alias("removed_lines_"),
+        F.coalesce(F.size("_gone"), F.lit(0)).alias(fresh("removed_chunks", names)),
+        F.coalesce(lines, F.lit(0)).alias(fresh("removed_lines", names)),
     )
