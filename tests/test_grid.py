@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingloom.operators import grid, resequence
-from filingloom.sources import sinks, vectors, workbook
+from filingloom.sources import backends, sinks, vectors, workbook
 
 FIRST = ["← Back to Index", "Category (Parent):", "Column Header L1:", "Table Title: A", "Source(s): x.pdf", "", "$ in millions", "Net revenues", "", "$ in millions", "Cost", "Total", "", "", "Table Title: B", "Source: y.pdf", "Fees"]
 
@@ -94,3 +94,34 @@ def test_sinks(spark, tmp_path):
     assert sinks.series_source(s, "d", ("a", "b")).count() == 1
     with pytest.raises(ValueError):
         sinks.series_source(s, "d", ("a", "nope"))
+
+
+def test_back_ends(spark, tmp_path):
+    def broken(data):
+        raise KeyError("no library")
+
+    def lines(data):
+        if data == b"bad":
+            raise ValueError("not a document")
+        for k, page in enumerate(data.decode().split("\f"), 1):
+            if page:
+                yield k, f"page {k}", [line.split("|") for line in page.split("\n")]
+
+    for name, data in {"a": b"x|1\ny|\fz|2", "b": b"bad", "c": b""}.items():
+        (tmp_path / f"{name}.pdf").write_bytes(data)
+    with pytest.raises(ValueError):
+        backends.scan(spark, str(tmp_path))
+    backends.register("lines", lines)
+    backends.register("broken", broken, 1)
+    try:
+        assert backends.names() == ["broken", "lines"]
+        got = backends.scan(spark, str(tmp_path)).orderBy("source_doc", "table_no").collect()
+        assert [(r.source_doc, r.backend, r.table_no, r.page_no, r.rows) for r in got] == [("a.pdf", "lines", 1, 1, [["x", "1"], ["y", ""]]), ("a.pdf", "lines", 2, 2, [["z", "2"]]), ("b.pdf", None, None, None, None)]
+        assert got[2].error == "broken: KeyError: 'no library'; lines: ValueError: not a document"
+        q = backends.quality(backends.scan(spark, str(tmp_path), use=["lines"])).collect()
+        assert [tuple(r) for r in q] == [("a.pdf", "lines", 2, 3, 5 / 6)]
+        with pytest.raises(ValueError):
+            backends.scan(spark, str(tmp_path), use=["nope"])
+    finally:
+        backends.unregister("lines")
+        backends.unregister("broken")
