@@ -157,7 +157,7 @@ def vector_stats(spark, d):
     return vectors.stats(_vectors(spark, d))
 
 
-@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id AS id, label % 3 + 2020 AS year, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS x, round(e[2] / sqrt(list_dot_product(e, e)), 6) AS y FROM v WHERE label <> 1")
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id AS id, CAST(label % 3 + 2020 AS BIGINT) AS year, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS x, round(e[2] / sqrt(list_dot_product(e, e)), 6) AS y FROM v WHERE label <> 1")
 def vectors_without_source(spark, d):
     v = vectors.without_source(_vectors(spark, d), "1")
     return v.select("id", F.col("metadata")["year"].cast("long").alias("year"), F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
@@ -174,3 +174,14 @@ def html_markdown(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS shown FROM lineitem")
 def clean_cells(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sinks.clean_cell(F.col("l_quantity")).alias("shown"))
+
+
+@query("SELECT event_id, CAST(json_object('event_id', event_id, 'user_id', user_id, 'kind', CASE WHEN event_type <> 'error' THEN event_type END) AS VARCHAR) AS record FROM events")
+def chart_records(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"))
+    return sinks.chart_records(e, ["event_id", "user_id", "kind"]).select("event_id", "record")
+
+
+@query("SELECT c_mktsegment AS source, count(*) AS \"Table Count\" FROM customer GROUP BY ALL")
+def source_summary(spark, d):
+    return sinks.source_summary(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("source")), "source")

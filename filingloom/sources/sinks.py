@@ -51,3 +51,8 @@ def markdown(rows: Column) -> Column:
     rule = F.concat(F.lit("| "), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---")), " | "), F.lit(" |"))
     body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), body), "\n")).otherwise("")
+
+
+def chart_records(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON record per row with the named columns in order, empty ones as null."""
+    return df.select("*", F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}).alias("record"))

@@ -37,7 +37,7 @@ def without_source(table: DataFrame, source: str) -> DataFrame:
 def stats(table: DataFrame) -> DataFrame:
     """One row: chunks, distinct sources, sorted years, dimension."""
     m = F.col("metadata")
-    return table.agg(F.count("*").alias("total_chunks"), F.countDistinct(m["source_doc"]).alias("sources"), F.array_join(F.sort_array(F.collect_set(m["year"])), ",").alias("years"), F.max(F.size("embedding")).alias("dimension"))
+    return table.agg(F.count("*").alias("total_chunks"), F.countDistinct(m["source_doc"]).alias("sources"), F.array_join(F.sort_array(F.collect_set(m["year"])), ",").alias("years"), F.max(F.size("embedding")).cast("long").alias("dimension"))
 
 
 def migrate(spark: SparkSession, source: str, target: str) -> tuple[int, int]:
