@@ -1,0 +1,28 @@
+"""Line deduplication gives the same rows whether repeated digests are broadcast or merged."""
+
+from filingloom.llm import line_dedup
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_merged_digests(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sent = sorted(map(str, line_dedup.line_dedup(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_DIGESTS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Or the planner would broadcast so small a table itself.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = line_dedup.line_dedup(docs)
+        assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, merged.collect())) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("removed_chunks=0" not in r for r in sent)
+
+
+def test_added_names_are_new(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "x", "y")], "doc_id long, text string, removed_chunks string, Removed_Lines string")
+    done = line_dedup.line_dedup(docs)
+    assert done.columns == [*docs.columns, "removed_chunks_", "removed_lines_"]
+    assert tuple(done.first()) == (1, "a\nb", "x", "y", 0, 0)
