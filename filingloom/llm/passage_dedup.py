@@ -1,0 +1,112 @@
+"""Removal of every repeated run of lines: chunks, whole documents and passages of over fifty words."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from filingloom.llm.common import fresh, let, materialise, row_key
+from filingloom.llm.line_dedup import BROADCAST_DIGESTS, SOLO_CHARS, _ends
+
+#: A run of lines with so many words is removed where it stands elsewhere before.
+PASSAGE_WORDS = 51
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def _words(line: Column) -> Column:
+    """The words of a line; a literal blank is split on several times faster than a pattern."""
+    for space in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.size(F.array_remove(F.split(line, " "), ""))
+
+
+def _spans(lines: Column) -> Column:
+    """Runs of lines (first, n) that are compared.
+
+    The chunks of ``line_dedup``; the whole document; and from and up to each
+    line with words the shortest run of ``PASSAGE_WORDS``. A run of so many
+    words that stands in two places is the union of such shortest runs, so what
+    stands around it does not matter.
+    """
+    span = lambda first, n: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"))
+
+    def of_chunks(ends: Column) -> Column:
+        def one(e: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+            return span(first, e - first + 1)
+
+        return F.transform(ends, one)
+
+    def of_counts(counts: Column) -> Column:
+        # The line of each word, and the words up to the end of each line.
+        line_of = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i, n)))
+        add = lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n))
+        upto = F.aggregate(counts, F.array().cast("array<int>"), add)
+
+        def runs(x: Column) -> Column:
+            at, end = x["line_of"], x["upto"]
+            starts = F.filter(F.sequence(F.lit(0), F.size(end) - 1), lambda i: F.get(counts, i) > 0)
+            onward = F.transform(starts, lambda i: span(i, F.get(at, F.get(end, i) - F.get(counts, i) + (PASSAGE_WORDS - 1)) - i + 1))
+            back = F.transform(starts, lambda i: let(F.get(at, F.get(end, i) - PASSAGE_WORDS), lambda first: span(first, i - first + 1)))
+            # Chunks and documents of white space stay, and so does one short line.
+            worded = lambda s: F.get(end, s["first"] + s["n"] - 1) > F.get(end, s["first"]) - F.get(counts, s["first"])
+            long = lambda s: (s["n"] > 1) | (F.length(F.get(lines, s["first"])) >= SOLO_CHARS)
+            others = F.concat(let(_ends(lines), of_chunks), F.array(span(F.lit(0), F.size(lines))))
+            return F.concat(F.filter(others, lambda s: long(s) & worded(s)), F.filter(F.concat(onward, back), lambda s: s["first"].isNotNull() & s["n"].isNotNull()))
+
+        return let(F.struct(line_of.alias("line_of"), upto.alias("upto")), runs)
+
+    return F.array_distinct(let(F.transform(lines, _words), of_counts))
+
+
+def _occurrences(parts: DataFrame, with_text: bool) -> DataFrame:
+    # An inner explode would have the planner filter on the spans, and compute them three times.
+    found = parts.select("_id", "_h", "_lines", F.explode_outer("_spans").alias("s")).where("s IS NOT NULL").select("_id", "_h", "s.first", "s.n", F.slice("_lines", F.col("s.first") + 1, F.col("s.n")).alias("run"))
+    digest = [F.xxhash64("run").alias("d1"), F.xxhash64(F.lit(1), F.col("run")).alias("d2")]
+    return found.select("_id", "_h", "first", "n", *digest, *([F.array_join("run", "\n").alias("text")] if with_text else []))
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated runs of lines removed from the text, and ``removed_lines``.
+
+    Removes all that ``line_dedup`` does, and besides every run of lines of
+    over fifty words, and every document of two lines or one long line, that
+    stands in an earlier place too (smaller document id, then line). A removed
+    line always equals one in an earlier place, so one copy of each stays. Runs
+    are found by two 64-bit digests and removed only if the smallest and largest
+    text under the digests are equal byte by byte.
+
+    Null texts stay null, empty ones empty; runs of white space stay; rows that
+    repeat an id and text keep the same lines; other columns pass through
+    unchanged.
+    """
+    names = [c for c in docs.columns if c != text_col]
+    lines = _lines(F.col(text_col))
+    parts = docs.select(*row_key(F.col(id_col), F.col(text_col)), lines.alias("_lines")).withColumn("_spans", _spans(F.col("_lines")))
+    seen = materialise(_occurrences(parts, False), "run_digests")
+    place = F.struct("_id", "_h", "first")
+    repeated = materialise(seen.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("earliest")).where("times > 1").select("d1", "d2", "earliest"), "repeated_runs")
+    small = repeated.count() <= BROADCAST_DIGESTS
+    digests = repeated.select("d1", "d2")
+    texts = _occurrences(parts, True).join(F.broadcast(digests) if small else digests, ["d1", "d2"], "left_semi")
+    same = texts.groupBy("d1", "d2").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where(F.col("lo") == F.col("hi")).select("d1", "d2")
+    equal = materialise(repeated.join(same, ["d1", "d2"]), "equal_runs")
+    gone = (
+        seen.join(equal, ["d1", "d2"])
+        .where(place != F.col("earliest"))
+        .groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "n")).alias("_gone"))
+    )
+    gone = materialise(gone, "run_removals")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
+    joined = rows.join(gone.hint("merge"), ["_id", "_h"], "left")
+    out = F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["first"], g["first"] + g["n"] - 1))))
+    again = joined.select("_row", out.alias("_out"), _lines(F.col("_row")[text_col]).alias("_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
+    text = F.when(F.col("_out").isNull(), F.col("_row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    return again.select(
+        *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
+        F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).alias(fresh("removed_lines", names)),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, quality_model, quality_rules, url_filters, warc
+from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, passage_dedup, quality_model, quality_rules, url_filters, warc
 from filingloom.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("removed_chunks").cast("long").alias("removed_chunks"), F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passage_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     last = warc.read_chunks(manifest, with_data=False).where("is_last")
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op1_passage_dedup": op1_passage_dedup,
     }
 
 
