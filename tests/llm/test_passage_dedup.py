@@ -1,6 +1,14 @@
 """Repeated runs of lines go, whatever stands around them, and one copy of each line stays."""
 
-from filingloom.llm import passage_dedup
+import collections
+import re
+
+import pytest
+
+from filingloom.llm import line_dedup, passage_dedup
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def line(tag, n):
@@ -16,9 +24,43 @@ def test_exact_copy_of_long_and_short_lines(spark):
     assert (got[3].text, got[4].text) == ("a\nb", "")
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
+def test_passage_of_short_lines(spark, n):
+    passage = [line(f"p{k}x", 60 // n) for k in range(n)]
+    around = lambda d: ([f"before {d} {k}" for k in range(5)], [f"after {d} {k}" for k in range(5)])
+    docs = [(d, "\n".join(around(d)[0] + passage + around(d)[1])) for d in (1, 2, 3)]
+    got = {r.doc_id: r.text for r in passage_dedup.passage_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    for d in (2, 3):
+        assert got[d] == "\n".join(around(d)[0] + around(d)[1])
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, " \n\t", "z"), (4, " \n\t", "z"), (5, "one", "u"), (6, "one", "v")], "doc_id long, text string, removed_lines string")
     done = passage_dedup.passage_dedup(docs)
     assert done.columns == [*docs.columns, "removed_lines_"]
     assert sorted(tuple(r) for r in done.collect()) == sorted((*r, 0) for r in map(tuple, docs.collect()))
     assert passage_dedup.passage_dedup(docs.where("false")).count() == 0
+
+
+def test_all_repeats_go(spark):
+    """On the smallest tables: more goes than by chunks, no passage stands twice, no line is lost."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    after = {r.doc_id: (r.text or "").split("\n") for r in passage_dedup.passage_dedup(docs).collect()}
+    chunks = {r.doc_id: (r.text or "").split("\n") for r in line_dedup.line_dedup(docs).collect()}
+    assert {x for t in before.values() for x in t} | {""} == {x for t in after.values() for x in t} | {""}
+    assert all(not collections.Counter(after[i]) - collections.Counter(chunks[i]) - collections.Counter([""]) for i in before)
+
+    words = lambda t: len(WORD.findall("\n".join(t)))
+    first, gone = {}, collections.defaultdict(set)
+    for i, t in sorted(before.items()):
+        for a in range(len(t)):
+            b = next((b for b in range(a, len(t)) if words(t[a : b + 1]) > 50), None)
+            if b is None:
+                break
+            if words(t[a : a + 1]) and first.setdefault(tuple(t[a : b + 1]), (i, a)) != (i, a):
+                gone[i].update(range(a, b + 1))
+    for i, lines in gone.items():
+        stays = collections.Counter(x for k, x in enumerate(before[i]) if k not in lines)
+        assert not collections.Counter(after[i]) - stays - collections.Counter([""])
