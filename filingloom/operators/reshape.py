@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.functions.period import split_header
+from filingloom.functions.period import sort_key, split_header
 
 #: Columns of a long fact, and unit headers that are no periods.
 FIXED = ["Source", "Section", "Table Title", "Category", "Product/Entity"]
@@ -25,8 +25,14 @@ def to_long(wide: DataFrame, fixed: Sequence[str] = FIXED, drop: Sequence[str] =
     return long.select(*[F.col(f"`{c}`") for c in ids], dates.alias("Dates"), header.alias("Header"), "Data Value")
 
 
-def to_wide(long: DataFrame, keys: Sequence[str], column: str, value: str, order: str, values: Sequence[str]) -> DataFrame:
-    """One row per ``keys`` and one column per value of ``column``: its first non-null ``value`` by ``order``; rows with a null key go."""
+def to_wide(long: DataFrame, keys: Sequence[str], column: str, value: str, order: str, values: Sequence[str] | None = None) -> DataFrame:
+    """One row per ``keys`` and one column per value of ``column``: its first non-null ``value`` by ``order``; rows with a null key go.
+
+    Without ``values`` every period code of ``column`` gets a column, in order of time.
+    """
+    if values is None:
+        found = long.select(F.col(column).alias("c")).where("c IS NOT NULL").distinct()
+        values = [r.c for r in found.orderBy(sort_key(F.col("c")), "c").collect()]
     kept = long.dropna(subset=list(keys)).where(F.col(value).isNotNull())
     return kept.groupBy(*keys).pivot(column, list(values)).agg(F.min_by(value, order))
 

@@ -55,6 +55,17 @@ def unpivot_quarters(spark, d):
     return reshape.to_long(timeseries_view(spark, d), ["section", "label"])
 
 
+@query(f"SELECT * FROM (PIVOT ({_QUARTERLY}) ON period USING max(value) GROUP BY section, label)")
+def timeseries_view_all(spark, d):
+    """The view over every quarter of the table."""
+    return reshape.to_wide(_quarterly(spark, d), ["section", "label"], "period", "value", "period")
+
+
+@query(f"WITH q AS ({_QUARTERLY}), k AS (SELECT DISTINCT section, label FROM q), p AS (SELECT DISTINCT period FROM q) SELECT section, label, period AS \"Dates\", '' AS \"Header\", value AS \"Data Value\" FROM k CROSS JOIN p LEFT JOIN q USING (section, label, period)")
+def unpivot_quarters_all(spark, d):
+    return reshape.to_long(timeseries_view_all(spark, d), ["section", "label"])
+
+
 @query("SELECT o_orderkey, 'Q' || quarter(o_orderdate) || '-' || year(o_orderdate) AS code, last_day(o_orderdate) AS month_end FROM orders")
 def period_code(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", period.code_of_date(F.col("o_orderdate")).alias("code"), F.last_day("o_orderdate").alias("month_end"))
