@@ -22,6 +22,19 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
+    """``knn`` for queries of any number: nothing is broadcast.
+
+    Every task scores one partition of the corpus against one partition of the
+    queries, and takes the rank limit before its shuffle.
+    """
+    rows = corpus if where is None else corpus.where(where)
+    pairs = rows.join(queries.hint("shuffle_replicate_nl"), F.lit(True), "inner")
+    scored = pairs.select("query_id", F.col(id_col).alias("id"), dot(F.col(vector), F.col("query")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Top ``k`` of Okapi BM25 over lower-case blank-separated tokens; negative idf becomes epsilon times the mean idf of the query's terms that are positive."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda w: w != "")

@@ -206,6 +206,43 @@ def mrr_precision(spark, d):
     return search.metrics(ranked, F.col("label") % 2 == 0).select("query_id", F.round("precision", 6).alias("precision"), F.round("mrr", 6).alias("mrr"), "hits")
 
 
+def _lists_all(spark, d) -> DataFrame:
+    v = _t(spark, d, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = search.knn_blocks(v, q, 10).withColumn("strategy", F.lit("vector"))
+    by_label = search.knn_blocks(v, q, 10, where=F.col("label") < 5).withColumn("strategy", F.lit("filtered"))
+    return near.unionByName(by_label).withColumn("score", F.round("score", 6))
+
+
+def _all_queries(sql: str) -> str:
+    """The SQL of a search with every row whose id is divisible by 50 as a query."""
+    few, every = "vec_id IN (3, 7, 11, 19)", "vec_id % 50 = 0"
+    assert few in sql
+    return sql.replace(few, every)
+
+
+@query(_all_queries(SQL["knn_topk"]))
+def knn_topk_all(spark, d):
+    return _lists_all(spark, d).select("query_id", "strategy", "id", "score", "rank")
+
+
+@query(_all_queries(SQL["rrf_fusion"]))
+def rrf_fusion_all(spark, d):
+    return search.rrf(_lists_all(spark, d), {"vector": 0.6, "filtered": 0.4}).select("query_id", "id", F.round("score", 9).alias("score"), "appearances")
+
+
+@query(_all_queries(SQL["weighted_fusion"]))
+def weighted_fusion_all(spark, d):
+    return search.weighted(search.min_max(_lists_all(spark, d)), {"vector": 0.6, "filtered": 0.4}).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(_all_queries(SQL["mrr_precision"]))
+def mrr_precision_all(spark, d):
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    ranked = _lists_all(spark, d).where("strategy = 'vector'").join(labels, "id")
+    return search.metrics(ranked, F.col("label") % 2 == 0).select("query_id", F.round("precision", 6).alias("precision"), F.round("mrr", 6).alias("mrr"), "hits")
+
+
 @query("""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS w FROM documents),
 c AS (SELECT id, len(w) AS len, len(list_filter(w, lambda x: x = 'stupid')) AS a, len(list_filter(w, lambda x: x = 'licensed')) AS b FROM t),
 s AS (SELECT count(*) AS n, avg(len) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
