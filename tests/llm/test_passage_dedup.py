@@ -64,3 +64,17 @@ def test_all_repeats_go(spark):
     for i, lines in gone.items():
         stays = collections.Counter(x for k, x in enumerate(before[i]) if k not in lines)
         assert not collections.Counter(after[i]) - stays - collections.Counter([""])
+
+
+def test_merged_digests(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sent = sorted(map(str, passage_dedup.passage_dedup(docs).collect()))
+    monkeypatch.setattr(passage_dedup, "BROADCAST_DIGESTS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = passage_dedup.passage_dedup(docs)
+        assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, merged.collect())) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
