@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm.common import let, materialise
@@ -23,6 +23,10 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 PARITY = 8
 #: The ids of documents whose sets are fetched are broadcast up to so many (16 MB or so); beyond it the planner joins.
 BROADCAST_IDS = 500_000
+#: Members of mixed buckets are drawn again while they would make more pairs than this each, so many times at most.
+PAIRS_A_MEMBER, MAX_DRAWS = 64, 8
+#: Mixed buckets with more members than this are split by a second key.
+SPLIT = 256
 
 _SEED = np.random.default_rng(20240229)
 _MULTIPLY = _SEED.integers(0, 2**63, CHUNKS * CHUNK, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,14 +125,14 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "set_hash", "sig", "odd"]
+    names = ["doc_id", "text_hash", "n", "set_hash", "sig", "odd"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+            sets = shingle_sets([t or "" for t in part.column(2).to_pylist()])
             sig = np.ascontiguousarray(signatures(sets)).view("<i8")  # a chunk is one long
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, _lists(sig), _lists(parities(sets))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), digest, _lists(sig), _lists(parities(sets))], names=names)
 
 
 def _only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,22 +196,38 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.where(fits).select("a", "b").distinct()
 
 
-def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The shingle sets of the nodes in ``ids``."""
-    ids = materialise(ids, "needed")
-    small = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if small else ids, "node", "left_semi")
-    return materialise(wanted.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
+class _Texts:
+    """The documents' texts and the groups of equal sets: fetches the sets of nodes."""
+
+    def __init__(self, texts: DataFrame, groups: DataFrame):
+        self.texts, self.groups = texts, groups
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """``node`` and ``shingles`` of the nodes in ``ids``, read from the row that stands for each."""
+        wanted = materialise(self.groups.join(ids, "node", "left_semi").select("node", "doc_id", "text_hash"), "needed")
+        small = wanted.count() <= BROADCAST_IDS
+        rows = self.texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "text_hash"]).select("node", "text")
+        return materialise(rows.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
 
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose full shingle sets have at least three quarters in common."""
+        pairs = materialise(pairs, "candidates")
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common)
+        return found.where(100 * F.col("i") >= 75 * (F.size("s_a") + F.size("s_b") - F.col("i"))).select("a", "b")
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets have at least three quarters in common; ``docs`` has ``node`` and ``text``."""
-    pairs = materialise(pairs, "candidates")
-    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common)
-    return found.where(100 * F.col("i") >= 75 * (F.size("s_a") + F.size("s_b") - F.col("i"))).select("a", "b")
+
+def _twins(full: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Links between the sets of ids that stand on rows with different texts, if there are any."""
+    several = full.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo != hi").select("doc_id")
+    several = materialise(several, "ids_of_several_texts")
+    if several.isEmpty():
+        return None
+    held = full.join(several, "doc_id").select("doc_id", "set_hash").distinct().join(groups.select("set_hash", "node"), "set_hash")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct five-word shingles; ``component_id`` is the smallest id reachable.
 
     1. A pass over the texts gives each its set's size, digest and signature of
-       64 16-bit MinHash components. Equal sets become one node, the smallest id.
+       64 16-bit MinHash components. Equal sets become one node with a number.
     2. Signatures within MAX_DISTANCE differ in at most one component of some
        chunk of four (pigeonhole), so each node enters 64 buckets: every chunk
        with every component left out. In each bucket all members are first
@@ -226,93 +246,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. The same again with a member drawn by the bucket's key, for members of
        other components.
     4. Members of one bucket that are in different components still are compared
-       with each other, if what they share with any member allows a link.
+       with each other, if what they share with any member allows a link; large
+       buckets after more draws, and split by the other chunks.
     5. Pairs near enough by signature, size and parity bits are confirmed on full
        sets. Each member that one set alone has turns one of 512 bits at most, so
        bits that differ bound from below what the sets don't share, exactly.
 
     Nothing is capped or sampled. Empty and null texts have no shingles and are
-    linked with nothing. Rows that repeat an id are one document. Rows with a
-    null id keep a null component and aren't kept. An empty table gives no
-    rows, other columns are not read.
+    linked with nothing. Rows that repeat an id are one document: their sets are
+    linked whatever they hold, and all have the id's component. Rows with a null
+    id keep a null component and aren't kept. An empty table gives no rows, other
+    columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    feats = materialise(
-        texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(_features, "doc_id bigint, n bigint, set_hash binary, sig array<bigint>, odd array<bigint>"), "features"
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    feats = materialise(texts.mapInArrow(_features, "doc_id bigint, text_hash bigint, n bigint, set_hash binary, sig array<bigint>, odd array<bigint>"), "features")
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
-    groups = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    groups = materialise(groups, "groups")
-    # The row that gave a group its id has the group's signature.
-    reps = materialise(
-        full.join(groups, (full["doc_id"] == groups["node"]) & (full["set_hash"] == groups["set_hash"]), "left_semi")
-        .select(F.col("doc_id").alias("node"), "n", "sig", "odd").dropDuplicates(["node", "n"]), "nodes",
-    )
+    # All rows of a group have its set, so any gives its size, signature and parity bits.
+    any_of = [F.any_value(c).alias(c) for c in ("n", "sig", "odd")]
+    groups = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies"), *any_of)
+    # The numbers are fixed by the write.
+    groups = materialise(groups.select(F.monotonically_increasing_id().alias("node"), "set_hash", "at.doc_id", "at.text_hash", "copies", "n", "sig", "odd"), "groups")
+    reps, fetch = groups.select("node", "n", "sig", "odd"), _Texts(texts, groups)
     keys = reps.select("node", F.posexplode(F.array(*[k for c in range(CHUNKS) for k in _chunk_keys(c)])).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     shared = materialise(shared, "shared_keys")
     buckets = materialise(keys.join(shared, "key"), "buckets")
     star = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_confirmed(_near(star, reps), texts), "star_links")
+    found = fetch.confirmed(_near(star, reps))
+    twins = _twins(full, groups)
+    links = materialise(found if twins is None else found.union(twins), "star_links")
     labels = components(links)
-    # Again with other pivots: in each bucket a member drawn by the bucket's key, for those in another component.
-    drawn = buckets.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    drawn = materialise(drawn, "labelled_buckets")
-    order = F.xxhash64("key", "node")
-    pick = drawn.groupBy("key").agg(F.min_by(F.struct("node", "label"), order).alias("p"))
-    again = drawn.join(pick, "key").where("label != p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    links = materialise(links.union(_confirmed(_near(again, reps), texts)), "links")
-    rest = _residual(buckets.where("members > 2"), reps, components(links), texts)
-    more = materialise(_confirmed(rest, texts), "more_links")
-    labels = materialise(components(links.union(more)), "labels")
+    links = materialise(links.union(fetch.confirmed(_near(_drawn(buckets.where("members > 2"), labels, 0), reps))), "links")
+    labels = components(_residual(buckets.where("members > 2"), reps, links, fetch))
     # Only groups with copies or links need a lookup; all other rows are their own component.
-    known = (
-        groups.join(labels, "node", "left")
-        .where("copies > 1 OR label IS NOT NULL")
-        .select("set_hash", F.coalesce("label", "node").alias("component"))
-    )
-    known = materialise(known, "known")
-    out = feats.join(known, "set_hash", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "set_hash"
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).select("doc_id", "n_shingles", "component_id", "kept")
+    held = groups.select("node", "set_hash", "doc_id", "copies").join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL")
+    held = materialise(held.select("set_hash", "doc_id", F.coalesce("label", "node").alias("label")), "labels")
+    known = held.join(held.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("set_hash", "component")
+    moved = full.select("doc_id", "set_hash").join(known, "set_hash").where("doc_id != component").select("doc_id", "component").distinct()
+    out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(materialise(moved, "moved"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _drawn(members: DataFrame, labels: DataFrame, draw: int) -> DataFrame:
+    """Pairs of a member drawn for each bucket and the bucket's members of other components."""
+    rows = materialise(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled_buckets")
+    order = F.xxhash64(F.lit(draw), "key", "node")
+    pick = rows.groupBy("key").agg(F.min_by(F.struct("node", "label"), order).alias("p"))
+    return rows.join(pick, "key").where("label != p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _residual(buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components and may be linked.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components still, with ``label`` and the bucket's size ``held``."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held")
+    return materialise(labelled.join(mixed, "key"), "mixed_buckets")
+
+
+def _residual(buckets: DataFrame, reps: DataFrame, links: DataFrame, fetch: _Texts) -> DataFrame:
+    """``links`` and those between members of one bucket that are in different components and may be linked.
 
     A link needs three quarters of either set in common, so shingles that no
     member of another component has bound what a node can share: with ``s``
     shared shingles at most ``s`` are common. Members that are boilerplate and
     otherwise their own, or copies changed too much, go before any pair is made.
+
+    While the members left would make more than PAIRS_A_MEMBER pairs each, they
+    are compared with drawn members and leave as components grow; buckets of more
+    than SPLIT members that remain are split by their members' other chunks.
     """
-    labelled = buckets.join(labels, "node", "left").select("key", "slot", "node", "pivot", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    members = materialise(labelled.join(mixed, "key"), "mixed_buckets")
-    nodes = members.select("node").distinct()
-    sets = _sets(nodes, texts)
-    label_of = members.select("node", "label").distinct()
+    labels = components(links)
+    members = _mixed(buckets.select("key", "slot", "node", "pivot"), labels)
+    nodes = members.select("node", "label").distinct()
+    shingles = fetch.sets(nodes.select("node")).join(nodes, "node").select("node", "label", F.explode("shingles").alias("shingle"))
     # A shingle that stands under one label only can't join two.
-    one = Window.partitionBy("shingle")
-    own = (
-        sets.join(label_of, "node").select("node", "label", F.explode("shingles").alias("shingle"))
-        .withColumn("alone", F.min("label").over(one) == F.max("label").over(one))
-        .where("alone").groupBy("node").agg(F.count("*").alias("own"))
-    )
-    able = (
-        nodes.join(reps, "node").join(own, "node", "left")
-        .select("node", "n", "sig", "odd", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
-        .where("4 * s >= 3 * n")
-    )
-    rows = materialise(members.join(able, "node"), "able_members")
-    side = lambda c: rows.select("key", "pivot", "slot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "odd", "s")])
-    left, right = side("a"), side("b").drop("pivot", "slot")
+    joint = shingles.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shingle")
+    common = shingles.join(joint, "shingle").groupBy("node").agg(F.count("*").alias("s"))
+    able = materialise(reps.join(common, "node").where("4 * s >= 3 * n"), "able_nodes")
+    members = members.join(able.select("node"), "node", "left_semi").select("key", "slot", "node", "pivot")
+    rows = _mixed(members, labels)
+    for draw in range(1, MAX_DRAWS):
+        load = rows.agg(F.count("*").alias("rows"), F.sum("held").alias("pairs")).first()
+        if not load["rows"] or load["pairs"] <= 2 * PAIRS_A_MEMBER * load["rows"]:
+            break
+        links = materialise(links.union(fetch.confirmed(_near(_drawn(rows, labels, draw), reps))), "links")
+        labels = components(links)
+        left = _mixed(rows.select("key", "slot", "node", "pivot"), labels)
+        if 10 * left.count() > 9 * load["rows"]:
+            rows = left
+            break
+        rows = left
+    pairs = _in_buckets(rows.where(F.col("held") <= SPLIT), able, [F.col("key")])
+    if not rows.where(F.col("held") > SPLIT).isEmpty():
+        pairs = pairs.union(_in_buckets(rows.where(F.col("held") > SPLIT), able, _second_keys()))
+    return materialise(links.union(fetch.confirmed(pairs.distinct())), "more_links")
+
+
+def _second_keys() -> list[Column]:
+    """Keys of a member in a bucket: its other chunks with two components left out.
+
+    Signatures within MAX_DISTANCE that share a bucket have at most two errors
+    in a chunk besides the bucket's: at most 2 * CHUNKS - 1 over CHUNKS - 1 others.
+    """
+    out = []
+    for chunk in range(CHUNKS):
+        for a in range(CHUNK):
+            for b in range(a):
+                m = (0xFFFF << 16 * a) | (0xFFFF << 16 * b)
+                two = F.get("sig", F.lit(chunk)).bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))
+                out.append(F.when(F.floor(F.col("slot") / CHUNK) != chunk, F.xxhash64("key", F.lit(16 * chunk + 4 * a + b), two)))
+    return out
+
+
+def _in_buckets(rows: DataFrame, able: DataFrame, keys: list[Column]) -> DataFrame:
+    """Pairs of members of a bucket (and of one of ``keys``) that are in different components and may be linked."""
+    full = rows.join(able, "node").withColumn("own", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+    side = lambda c: full.select("own", "key", "pivot", "slot", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "sig", "odd", "s")])
+    left, right = side("a").withColumnRenamed("own", "own_a").withColumnRenamed("key", "key_a"), side("b").drop("pivot", "slot").withColumnRenamed("own", "own_b").withColumnRenamed("key", "key_b")
     most = F.least("s_a", "s_b")
     may = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("node_a") != F.col("pivot")) & (4 * most >= 3 * (F.col("n_a") + F.col("n_b") - most))
     # Each pair in the first bucket that it shares only.
     near = _few_apart() & _near_and_first(F.col("slot"), F.col("sig_a"), F.col("sig_b"))
-    pairs = left.withColumnRenamed("key", "key_a").join(right.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & may & near)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    same = (F.col("own_a") == F.col("own_b")) & (F.col("key_a") == F.col("key_b"))
+    return left.join(right, same & may & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
