@@ -33,9 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/filingloom/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/filingloom/{uuid.uuid4().hex}/{name}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +52,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path.rsplit("/", 1)[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote to the shared folder; results not yet read are lost."""
+    _delete(spark, _own_dir(spark))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

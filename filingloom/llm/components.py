@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise
+from filingloom.llm.common import discard, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,6 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialise(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
+        before = edges
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,6 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = materialise(small.select("e.u", F.col("e.m").alias("v")).where("u != v").distinct(), "small_star")
+        discard(before, large)
         new = _mark(edges)
         if new == mark:
             break

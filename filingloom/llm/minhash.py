@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import let, materialise
+from filingloom.llm.common import discard, let, materialise
 from filingloom.llm.components import components
 from filingloom.llm.tokens import rounds
 
@@ -24,9 +24,9 @@ PARITY = 8
 #: The ids of documents whose sets are fetched are broadcast up to so many (16 MB or so); beyond it the planner joins.
 BROADCAST_IDS = 500_000
 #: Members of mixed buckets are drawn again while they would make more pairs than this each, so many times at most.
-PAIRS_A_MEMBER, MAX_DRAWS = 64, 8
-#: Mixed buckets with more members than this are split by a second key.
-SPLIT = 256
+PAIRS_A_MEMBER, MAX_DRAWS = 4096, 8
+#: Mixed buckets with more members than this are split by a second key: below it 90 keys a member cost more than the pairs.
+SPLIT = 16_384
 
 _SEED = np.random.default_rng(20240229)
 _MULTIPLY = _SEED.integers(0, 2**63, CHUNKS * CHUNK, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,7 +207,9 @@ class _Texts:
         wanted = materialise(self.groups.join(ids, "node", "left_semi").select("node", "doc_id", "text_hash"), "needed")
         small = wanted.count() <= BROADCAST_IDS
         rows = self.texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "text_hash"]).select("node", "text")
-        return materialise(rows.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
+        found = materialise(rows.mapInArrow(_only_sets, "node bigint, shingles array<bigint>"), "sets")
+        discard(wanted)
+        return found
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full shingle sets have at least three quarters in common."""
@@ -216,7 +218,9 @@ class _Texts:
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
         common = F.size(F.array_intersect("s_a", "s_b"))
         found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common)
-        return found.where(100 * F.col("i") >= 75 * (F.size("s_a") + F.size("s_b") - F.col("i"))).select("a", "b")
+        links = materialise(found.where(100 * F.col("i") >= 75 * (F.size("s_a") + F.size("s_b") - F.col("i"))).select("a", "b"), "confirmed")
+        discard(pairs, sets)
+        return links
 
 
 def _twins(full: DataFrame, groups: DataFrame) -> DataFrame | None:
@@ -271,6 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     shared = materialise(shared, "shared_keys")
     buckets = materialise(keys.join(shared, "key"), "buckets")
+    discard(shared)
     star = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     found = fetch.confirmed(_near(star, reps))
     twins = _twins(full, groups)
@@ -318,11 +323,13 @@ def _residual(buckets: DataFrame, reps: DataFrame, links: DataFrame, fetch: _Tex
     labels = components(links)
     members = _mixed(buckets.select("key", "slot", "node", "pivot"), labels)
     nodes = members.select("node", "label").distinct()
-    shingles = fetch.sets(nodes.select("node")).join(nodes, "node").select("node", "label", F.explode("shingles").alias("shingle"))
+    sets = fetch.sets(nodes.select("node"))
+    shingles = sets.join(nodes, "node").select("node", "label", F.explode("shingles").alias("shingle"))
     # A shingle that stands under one label only can't join two.
     joint = shingles.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("shingle")
     common = shingles.join(joint, "shingle").groupBy("node").agg(F.count("*").alias("s"))
     able = materialise(reps.join(common, "node").where("4 * s >= 3 * n"), "able_nodes")
+    discard(sets)
     members = members.join(able.select("node"), "node", "left_semi").select("key", "slot", "node", "pivot")
     rows = _mixed(members, labels)
     for draw in range(1, MAX_DRAWS):
