@@ -1,16 +1,16 @@
-"""Removal of repeated multi-line chunks, with chunk bounds that the lines themselves choose."""
+"""Removal of repeated runs of lines: chunks with bounds that the lines themselves choose, whole documents, passages of over fifty words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import fresh, let, materialise, row_key
+from filingloom.llm.common import discard, fresh, let, materialise, row_key
 
 #: A line of so many characters (some fifty words) is a chunk by itself.
 SOLO_CHARS = 240
-#: Repeated chunk digests are broadcast for the byte comparison up to so many (some 30 MB); beyond it the planner joins.
-BROADCAST_DIGESTS = 500_000
+#: A run of lines with so many words is removed where it stands elsewhere before.
+PASSAGE_WORDS = 51
 
 
 def _ends(lines: Column) -> Column:
@@ -38,78 +38,115 @@ def _ends(lines: Column) -> Column:
     return let(line_hash, of_hashes)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The document rows with their key (``_id``, ``_h``) and ``_chunks``: array of (text, lines, first line)."""
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
-    def of_lines(lines: Column) -> Column:
-        def cut(ends: Column) -> Column:
-            def one(e: Column, k: Column) -> Column:
-                first = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-                n = e - first + 1
-                return F.struct(F.array_join(F.slice(lines, first + 1, n), "\n").alias("text"), n.alias("lines"))
 
-            return F.transform(ends, one)
+def _words(line: Column) -> Column:
+    """The words of a line; a literal blank is split on several times faster than a pattern."""
+    for space in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.size(F.array_remove(F.split(line, " "), ""))
 
-        return let(_ends(lines), cut)
 
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    return docs.select("*", *row_key(F.col(id_col), F.col(text_col)), let(lines, of_lines).alias("_chunks"))
+def _spans(lines: Column) -> Column:
+    """Runs of lines (first, n) that are compared.
 
+    The chunks; the whole document; and from and up to each
+    line with words the shortest run of ``PASSAGE_WORDS``. A run of so many
+    words that stands in two places is the union of such shortest runs, so what
+    stands around it does not matter.
+    """
+    span = lambda first, n: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"))
 
-def _occurrences(parts: DataFrame, with_text: bool) -> DataFrame:
-    c = F.col("c")
-    found = parts.select("_id", "_h", F.posexplode("_chunks").alias("pos", "c")).where(
-        ((c["lines"] > 1) | (F.length(c["text"]) >= SOLO_CHARS)) & c["text"].rlike("[^\\x20\\x09-\\x0D]")
-    )
-    digest = [F.xxhash64(c["text"]).alias("d1"), F.xxhash64(F.lit(1), c["text"]).alias("d2")]
-    return found.select("_id", "_h", "pos", *digest, *([c["text"].alias("chunk")] if with_text else []))
+    def of_chunks(ends: Column) -> Column:
+        def one(e: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+            return span(first, e - first + 1)
 
+        return F.transform(ends, one)
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks removed from the text, and ``removed_chunks``, ``removed_lines``.
+    def of_counts(counts: Column) -> Column:
+        # The line of each word, and the words up to the end of each line.
+        line_of = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i, n)))
+        add = lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n))
+        upto = F.aggregate(counts, F.array().cast("array<int>"), add)
+
+        def runs(x: Column) -> Column:
+            at, end = x["line_of"], x["upto"]
+            starts = F.filter(F.sequence(F.lit(0), F.size(end) - 1), lambda i: F.get(counts, i) > 0)
+            onward = F.transform(starts, lambda i: span(i, F.get(at, F.get(end, i) - F.get(counts, i) + (PASSAGE_WORDS - 1)) - i + 1))
+            back = F.transform(starts, lambda i: let(F.get(at, F.get(end, i) - PASSAGE_WORDS), lambda first: span(first, i - first + 1)))
+            # Chunks and documents of white space stay, and so does one short line.
+            worded = lambda s: F.get(end, s["first"] + s["n"] - 1) > F.get(end, s["first"]) - F.get(counts, s["first"])
+            long = lambda s: (s["n"] > 1) | (F.length(F.get(lines, s["first"])) >= SOLO_CHARS)
+            others = F.concat(let(_ends(lines), of_chunks), F.array(span(F.lit(0), F.size(lines))))
+            return F.concat(F.filter(others, lambda s: long(s) & worded(s)), F.filter(F.concat(onward, back), lambda s: s["first"].isNotNull() & s["n"].isNotNull()))
+
+        return let(F.struct(line_of.alias("line_of"), upto.alias("upto")), runs)
 
-    A chunk of two lines or more, or one long line, that occurs more than once
-    in the table stays at its first place (smallest document id, then place)
-    and goes elsewhere. Chunks are found by two 64-bit digests and removed only
-    if the smallest and largest text under the digests are equal byte by byte.
+    return F.array_distinct(let(F.transform(lines, _words), of_counts))
 
-    Digests alone are counted first (pre-aggregated); texts of repeated ones
-    are reduced to a smallest and largest for each task before they meet. Whole
-    texts are shuffled by the last join, by document, at any size. The repeated
-    digests go to every task for the comparison up to ``BROADCAST_DIGESTS``;
-    beyond that both sides are merged by digest.
+
+def _occurrences(parts: DataFrame) -> DataFrame:
+    """Place, lines and digests of each run of ``_lines``."""
+    # An inner explode would have the planner filter on the spans, and compute them three times.
+    found = parts.select("_id", "_h", "_lines", F.explode_outer(_spans(F.col("_lines"))).alias("s")).where("s IS NOT NULL")
+    run = F.slice("_lines", F.col("s.first") + 1, F.col("s.n"))
+    return found.select("_id", "_h", "s.first", "s.n", F.xxhash64(run).alias("d1"), F.xxhash64(F.lit(1), run).alias("d2"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated runs of lines removed from the text, and ``removed_lines``.
+
+    Runs are content-defined chunks of two lines or more, single lines of
+    SOLO_CHARS or more, whole documents of either kind, and for each line the
+    shortest runs of over fifty words that begin or end with it, so that a
+    passage is found whatever stands around it. A run that stands in several
+    places stays at the first (smallest document id, then line) and goes
+    elsewhere; so a removed line always equals one that stands earlier. Runs are
+    found by two 64-bit digests and removed only if the smallest and the largest
+    text under the digests are equal byte by byte.
+
+    1. Digests alone are counted (pre-aggregated), and joined back to give each
+       document the list of its repeated runs. A digest with a third of all rows
+       is split by the planner, as the next exchange is by document.
+    2. Lists and texts meet by document, once, at any size; nothing is broadcast.
+    3. The texts of repeated runs are reduced to a smallest and a largest by each
+       task before they meet. Digests under which those differ are left alone;
+       only if there are any a second pass by document is made.
 
     Null texts stay null, empty ones empty; one short line is never removed;
-    chunks of white space stay; rows that repeat an id and text keep the same
-    chunks; an empty table gives no rows; other columns pass through unchanged.
-    A text keeps the line feeds between the chunks it keeps. Where a column has the
+    runs of white space stay; rows that repeat an id and text keep the same
+    lines; an empty table gives no rows; other columns pass through unchanged.
+    A text keeps the line feeds between the lines it keeps. Where a column has the
     name of an added one, that gets ``_`` at its end until it is new.
     """
-    names = [c for c in docs.columns if c != text_col]
-    parts = chunked(docs.select(id_col, text_col), id_col, text_col)
-    # Counts first, on digests alone.
-    seen = materialise(_occurrences(parts, False), "chunk_digests")
-    first = F.min(F.struct("_id", "_h", "pos")).alias("first")
-    repeated = materialise(seen.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").select("d1", "d2", "first"), "repeated")
-    small = repeated.count() <= BROADCAST_DIGESTS
-    digests = repeated.select("d1", "d2")
-    texts = _occurrences(parts, True).join(F.broadcast(digests) if small else digests, ["d1", "d2"], "left_semi")
-    same = texts.groupBy("d1", "d2").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where(F.col("lo") == F.col("hi")).select("d1", "d2")
-    equal = materialise(repeated.join(same, ["d1", "d2"]), "equal_chunks")
-    gone = (
-        seen.join(equal, ["d1", "d2"])
-        .where(F.struct("_id", "_h", "pos") != F.col("first"))
-        .groupBy("_id", "_h").agg(F.collect_set("pos").alias("_gone"))
+    key = row_key(F.col(id_col), F.col(text_col))
+    place = F.struct("_id", "_h", "first")
+    seen = materialise(_occurrences(docs.select(*key, _lines(F.col(text_col)).alias("_lines"))), "run_digests")
+    repeated = seen.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("earliest")).where("times > 1").select("d1", "d2", "earliest")
+    marks = seen.join(materialise(repeated, "repeated_runs").hint("merge"), ["d1", "d2"]).groupBy("_id", "_h").agg(
+        F.collect_set(F.struct("first", "n", "d1", "d2", (place != F.col("earliest")).alias("later"))).alias("_marks")
     )
-    gone = materialise(gone, "removals")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
-    joined = rows.join(gone.hint("merge"), ["_id", "_h"], "left")
-    again = chunked(joined.select("_row", "_gone", F.col("_row")[id_col].alias("_i"), F.col("_row")[text_col].alias("_t")), "_i", "_t")
-    kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
-    lines = F.aggregate(F.transform("_gone", lambda k: F.get("_chunks", k)["lines"]), F.lit(0), lambda a, n: a + n)
-    text = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    return again.select(
+    marks = materialise(marks, "marks")
+    discard(seen)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
+    marked = materialise(rows.join(marks.hint("merge"), ["_id", "_h"], "left"), "marked_rows")
+    runs = marked.where("_marks IS NOT NULL").select(_lines(F.col("_row")[text_col]).alias("_lines"), F.explode("_marks").alias("m"))
+    runs = runs.select("m.d1", "m.d2", F.array_join(F.slice("_lines", F.col("m.first") + 1, F.col("m.n")), "\n").alias("run"))
+    unequal = runs.groupBy("d1", "d2").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo != hi").select("d1", "d2")
+    unequal = materialise(unequal, "unequal_runs")
+    if not unequal.isEmpty():
+        each = marks.select("_id", "_h", F.explode("_marks").alias("m")).withColumns({"d1": F.col("m.d1"), "d2": F.col("m.d2")})
+        spared = each.join(unequal, ["d1", "d2"]).groupBy("_id", "_h").agg(F.collect_set("m").alias("_spared"))
+        marked = marked.join(spared.hint("merge"), ["_id", "_h"], "left").withColumn("_marks", F.when(F.col("_spared").isNull(), F.col("_marks")).otherwise(F.array_except("_marks", "_spared")))
+    gone = F.filter("_marks", lambda m: m["later"])
+    out = F.array_distinct(F.flatten(F.transform(gone, lambda m: F.sequence(m["first"], m["first"] + m["n"] - 1))))
+    cut = marked.select("_row", F.when(F.exists("_marks", lambda m: m["later"]), out).alias("_out"), _lines(F.col("_row")[text_col]).alias("_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
+    text = F.when(F.col("_out").isNull(), F.col("_row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    return cut.select(
         *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias(fresh("removed_chunks", names)),
-        F.coalesce(lines, F.lit(0)).alias(fresh("removed_lines", names)),
+        F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).alias(fresh("removed_lines", [c for c in docs.columns if c != text_col])),
     )

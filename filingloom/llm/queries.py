@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, passage_dedup, quality_model, quality_rules, url_filters, warc
+from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, quality_model, quality_rules, url_filters, warc
 from filingloom.llm.common import table
 
 
@@ -19,11 +19,6 @@ def _vocabulary(name: str) -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("removed_chunks").cast("long").alias("removed_chunks"), F.col("removed_lines").cast("long").alias("removed_lines"))
-
-
-def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = passage_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
@@ -90,7 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_dedup": op10_minhash_dedup,
-        "op1_passage_dedup": op1_passage_dedup,
     }
 
 
@@ -126,20 +120,26 @@ FROM m GROUP BY conv_id
 """
 
 
-_OP1 = """
-WITH l AS (
-  SELECT doc_id, i - 1 AS i, lines[i] AS line, len(lines) AS n
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
-h AS (SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) AS r, lead(length(line)) OVER w AS next_len FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+_OP1 = r"""
+WITH docs AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS i, lines[i] AS line, len(lines) AS n, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM docs, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+h AS (SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) AS r, lead(length(line)) OVER w AS next_len, sum(w) OVER w AS upto FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT *, coalesce(i = n - 1 OR length(line) >= 240 OR next_len >= 240 OR (i < n - 2 AND r < lag(r) OVER w AND r < lead(r) OVER w), false) AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
-k AS (SELECT doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, pos),
-g AS (SELECT *, (lines > 1 OR length(chunk) >= 240) AND regexp_matches(chunk, '[^ \t\n\x0B\f\r]') AND row_number() OVER (PARTITION BY chunk, (lines > 1 OR length(chunk) >= 240) ORDER BY doc_id, pos) > 1 AS gone FROM k)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, x.removed_chunks, x.removed_lines
-FROM documents d JOIN (
-  SELECT doc_id, string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY pos) AS text,
-    CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS removed_chunks, CAST(sum(CASE WHEN gone THEN lines ELSE 0 END) AS BIGINT) AS removed_lines
-  FROM g GROUP BY doc_id) x USING (doc_id)
+spans AS (
+  SELECT doc_id, min(i) AS first, max(i) AS last FROM c GROUP BY doc_id, pos HAVING (count(*) > 1 OR max(length(line)) >= 240) AND sum(w) > 0
+  UNION SELECT doc_id, 0, max(i) FROM c GROUP BY doc_id HAVING (count(*) > 1 OR max(length(line)) >= 240) AND sum(w) > 0
+  UNION SELECT a.doc_id, a.i, min(b.i) FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w > 50 WHERE a.w > 0 GROUP BY a.doc_id, a.i
+  UNION SELECT b.doc_id, max(a.i), b.i FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w > 50 WHERE b.w > 0 GROUP BY b.doc_id, b.i),
+runs AS (SELECT doc_id, first, last, array_to_string(lines[first + 1 : last + 1], chr(10)) AS run FROM spans JOIN docs USING (doc_id)),
+later AS (SELECT doc_id, first, last FROM (SELECT *, min((doc_id, first)) OVER (PARTITION BY run) AS earliest FROM runs) WHERE (doc_id, first) != earliest),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS removed_lines
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, k.removed_lines FROM docs d JOIN kept k USING (doc_id)
 """
 
 _OP10 = r"""

@@ -79,7 +79,7 @@ def test_line_dedup(spark, odd, empty):
     block = "alpha beta\ngamma delta\nepsilon zeta\neta theta\niota kappa\nlambda mu\nnu xi\nomicron pi"
     docs = spark.createDataFrame([(1, "first\n" + block + "\nx"), (2, "other\n" + block + "\ny"), (3, block), (4, block), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
-    assert got[1].removed_chunks == 0 and got[2].removed_lines > 0 and got[3].removed_lines > 0
+    assert got[1].removed_lines == 0 and got[2].removed_lines > 0 and got[3].removed_lines > 0
     assert got[2].text.startswith("other") and got[4].text == "" and got[5].text is None
     assert line_dedup.line_dedup(odd).columns[:4] == ["doc_id", "text", "kept", "n"]
     assert line_dedup.line_dedup(odd).count() == len(ODD) and line_dedup.line_dedup(empty).count() == 0
@@ -173,7 +173,6 @@ def test_packing(spark, odd, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     texts = corpus(3000)
     assert [list(i) for i in packing.WordTokens(path)(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     rows = packing.pack(odd, path).collect()

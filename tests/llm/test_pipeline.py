@@ -60,7 +60,7 @@ def test_line_stage(spark, stages):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{stages[2]}/*.parquet')")
     found = con.sql(queries.oracle_sql()["op1_line_dedup"])
-    at = [found.columns.index(c) for c in ("doc_id", "text", "removed_chunks")]
+    at = [found.columns.index(c) for c in ("doc_id", "text", "removed_lines")]
     want = [(r[at[0]], r[at[1]]) for r in found.fetchall() if not (r[at[2]] and not WORD.search(r[at[1]] or ""))]
     assert sorted(texts(spark, stages[3]), key=str) == sorted(want, key=str)
     assert rows(spark, stages[3])[1] == rows(spark, stages[2])[1]
@@ -119,10 +119,10 @@ def test_empty_table(spark, tmp_path):
 
 def test_extra_columns_with_clashing_names(spark, tmp_path):
     """Columns named like those that operators add pass through every stage but the last."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).selectExpr("*", "'a' AS kept", "1 AS _id", "2 AS _h", "'n' AS removed_chunks", "3 AS posterior", "4 AS component_id")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).selectExpr("*", "'a' AS kept", "1 AS _id", "2 AS _h", "'n' AS removed_lines", "3 AS posterior", "4 AS component_id")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         out = spark.read.parquet(f"{tmp_path}/{name}")
         assert out.columns == docs.columns, name
         docs = out
-    assert docs.where("kept = 'a' AND _id = 1 AND removed_chunks = 'n'").count() == docs.count() > 0
+    assert docs.where("kept = 'a' AND _id = 1 AND removed_lines = 'n'").count() == docs.count() > 0
