@@ -25,9 +25,9 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks; ``n_chars`` follows the text.
+    """Documents without repeated runs of lines; ``n_chars`` follows the text.
 
-    A document whose every chunk stands elsewhere has no text left and goes;
+    A document whose every line stands elsewhere has no text left and goes;
     one that was empty before stays.
     """
     # Columns are numbered on the way through, so that none clashes with those that the operator adds.
@@ -35,8 +35,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = {c: f"c{i}" for i, c in enumerate(names)}
     done = line_dedup.line_dedup(docs.toDF(*own.values()), own["doc_id"], own["text"])
     text = F.col(own["text"])
-    left = done.where(~((F.col("removed_chunks") > 0) & ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
-    length = F.when(F.col("removed_chunks") > 0, F.length(text).cast("long"))
+    left = done.where(~((F.col("removed_lines") > 0) & ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
+    length = F.when(F.col("removed_lines") > 0, F.length(text).cast("long"))
     return left.select(*[(F.coalesce(length, F.col(k)) if c == "n_chars" else F.col(k)).alias(c) for c, k in own.items()])
 
 
