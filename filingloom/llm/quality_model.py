@@ -16,12 +16,15 @@ from filingloom.llm.tokens import rounds
 from filingloom.llm.weak_labels import VoteModel, fit
 
 LABELLERS = ("l_length", "l_symbols", "l_case", "l_adjacent", "l_variety", "l_echo", "l_shape", "l_punctuation", "l_plain")
+BLOCK = 500
 BITS = 16
 SLOTS = 1 << BITS
 #: Posteriors farther than this from certainty train nothing.
 SURE = 0.9
 #: Rows of each weak label that train the scorer, those with the smallest hash of their key.
 TRAIN_ROWS = 3000
+#: Rows of a class at which it has half of its full weight in training.
+FEW = 20
 
 
 def _slot(kind: str, value: str) -> int:
@@ -31,7 +34,7 @@ def _slot(kind: str, value: str) -> int:
 def _shape(word: str) -> str:
     """Runs of upper case, lower case, digits and each other character, runs shortened to one or two."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if len(out) < 2 or out[-1] != s or out[-2] != s:
             out.append(s)
@@ -70,7 +73,7 @@ class _Words:
 
 
 _WORDS = _Words()
-#: Columns that ``measure`` gives each text.
+#: Columns that ``measure`` gives each text; words are distinct within each BLOCK of words, so that length alone lowers no share.
 MEASURES = ("n", "length", "odd", "upper", "others", "plain", "adjacent", "distinct")
 
 
@@ -107,10 +110,10 @@ def measure(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
                 own, shape = facts[lo:hi], facts[lo:hi, 5]
                 sums = own[:, :5].sum(0)
                 adjacent = int((code[lo + 1 : hi] == code[lo : hi - 1]).sum())
-                distinct = len(np.unique(code[lo:hi]))
+                distinct = len(np.unique(code[lo:hi] + len(_WORDS.facts) * (np.arange(n) // BLOCK)))
                 out[i] = (n, *sums, adjacent, distinct)
                 s, c = np.unique(shape, return_counts=True)
-                slots[i] = (np.append(s, [same, few]), np.append(np.sqrt(c / n), [np.sqrt(adjacent / n), np.sqrt(1 - min(1.0, distinct / min(n, 200)))]))
+                slots[i] = (np.append(s, [same, few]), np.append(np.sqrt(c / n), [np.sqrt(adjacent / n), np.sqrt(1 - distinct / n)]))
             lo = hi
     return out, slots
 
@@ -129,7 +132,7 @@ def votes(m: np.ndarray) -> np.ndarray:
         vote(odd > 0.15, odd < 0.05),
         vote(upper > 0.4, upper < 0.1),
         vote(adjacent > 0.2, adjacent < 0.02),
-        vote((distinct < 0.15) & (m[:, 0] >= 50) & (m[:, 0] < 2000), (distinct > 0.3) & (m[:, 0] >= 50)),
+        vote((distinct < 0.15) & (m[:, 0] >= 50), (distinct > 0.3) & (m[:, 0] >= 50)),
         vote((adjacent > 0.1) & (distinct < 0.6), adjacent < 0.02),
         vote(others > length * 0.3, others < length * 0.08),
         vote(others > 0.6, others < 0.3),
@@ -160,7 +163,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(posterior: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarray], rounds_: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer that fits the posteriors, classes weighed alike; full-batch Adagrad."""
+    """Weights and bias of a logistic scorer that fits the posteriors; full-batch Adagrad.
+
+    Classes weigh alike if they are large; one of few rows weighs less, as FEW more would halve its weight.
+    """
     w, b = np.zeros(SLOTS), 0.0
     if not len(posterior):
         return w, b
@@ -168,7 +174,7 @@ def train(posterior: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarra
     row = np.repeat(np.arange(len(slots)), sizes)
     col, val = np.concatenate(slots).astype(np.int64), np.concatenate(shares)
     good = posterior >= 0.5
-    weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
+    weight = np.where(good, 0.5 / (good.sum() + FEW), 0.5 / ((~good).sum() + FEW))
     g2, gb2 = np.full(SLOTS, 1e-8), 1e-8
     for _ in range(rounds_):
         z = np.bincount(row, val * w[col], len(slots)) + b
@@ -206,7 +212,9 @@ def fit_scorer(docs: DataFrame, weak: DataFrame, id_col: str, text_col: str, tra
     return w, b
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS, model: VoteModel | None = None) -> DataFrame:
+def classify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS, model: VoteModel | None = None, learn_from: DataFrame | None = None
+) -> DataFrame:
     """Score every document row: ``doc_id``, the key ``_id``/``_h``, ``n_words``, ``posterior`` (of the votes), ``score`` and ``kept``.
 
     Labellers vote on counts of every text; EM over all vote patterns estimates
@@ -214,21 +222,29 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     of each kind train a linear scorer on hashed features, which scores all
     texts. Kept are scores of ``threshold`` or more.
 
+    EM and scorer learn from the rows of ``learn_from`` (all are voted on), or of
+    ``docs`` where it isn't given. Where filters have gone before, the table
+    before them has the junk to learn from.
+
     Without sure rows of both kinds there is nothing to tell apart, and the
     posterior is the score. Null and empty texts score 0 and aren't kept;
     repeated rows score alike; an empty table gives no rows; other columns are
     not read.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    whole = docs if learn_from is None else learn_from
+    keyed = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
     schema = "doc_id bigint, _id bigint, _h bigint, n_words bigint, " + ", ".join(f"{n} tinyint" for n in LABELLERS)
-    voted = materialise(keyed.mapInArrow(_measured, schema), "votes")
+    voted = materialise(keyed(whole).mapInArrow(_measured, schema), "votes")
     model = model or fit(voted.where("n_words > 0"), LABELLERS)
-    weak = voted.withColumn("posterior", model.posterior({n: F.col(n) for n in LABELLERS}))
+    posterior = model.posterior({n: F.col(n) for n in LABELLERS})
+    weak = voted.withColumn("posterior", posterior)
     some = weak.where("n_words > 0")
     counts = some.agg(F.count(F.when(F.col("posterior") >= SURE, 1)), F.count(F.when(F.col("posterior") <= 1 - SURE, 1))).first()
     if not all(counts):
+        if learn_from is not None:
+            weak = keyed(docs).mapInArrow(_measured, schema).withColumn("posterior", posterior)
         return weak.select("doc_id", "_id", "_h", "n_words", "posterior", F.when(F.col("n_words") > 0, F.col("posterior")).otherwise(0.0).alias("score")).withColumn("kept", F.col("score") >= threshold)
-    w, b = fit_scorer(docs, some, id_col, text_col, train_rows)
+    w, b = fit_scorer(whole, some, id_col, text_col, train_rows)
 
     def score(batches):
         for batch in batches:
@@ -243,6 +259,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                     names=["doc_id", "_id", "_h", "n_words", "odds", "score"],
                 )
 
-    scored = keyed.mapInArrow(score, "doc_id bigint, _id bigint, _h bigint, n_words bigint, odds double, score double")
+    scored = keyed(docs).mapInArrow(score, "doc_id bigint, _id bigint, _h bigint, n_words bigint, odds double, score double")
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("odds")))
     return scored.select("doc_id", "_id", "_h", "n_words", posterior.alias("posterior"), "score", (F.col("score") >= threshold).alias("kept"))

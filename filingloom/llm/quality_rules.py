@@ -9,7 +9,11 @@ from filingloom.llm.common import SPACE, let, materialise, row_key, word_array
 from filingloom.llm.weak_labels import VoteModel, fit
 
 WINDOW = 8
+#: Words over which distinct ones are counted.
+BLOCK = 500
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Shares of the bad rows that a rule may find.
+FOUND = (0.05, 0.9)
 RULES = ("r_word_length", "r_symbols", "r_dup_lines", "r_repeats", "r_adjacent", "r_upper", "r_marks", "r_punctuation", "r_variety")
 
 
@@ -60,7 +64,8 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            # Distinct within each block, so that length alone lowers no share.
+            F.aggregate(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), F.lit(0), lambda a, k: a + F.size(F.array_distinct(F.slice(w, k * BLOCK + 1, F.lit(BLOCK))))).cast("long").alias("n_distinct"),
             F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_adjacent"),
         )
 
@@ -103,7 +108,7 @@ def rule_votes() -> dict[str, Column]:
         "r_upper": _vote(F.col("n_upper") / chars > 0.4, F.col("n_upper") / chars < 0.15),
         "r_marks": _vote(F.col("n_marks") / words > 0.3, F.col("n_marks") / words < 0.1),
         "r_punctuation": _vote(F.col("n_punct") / words > 0.5, F.col("n_punct") / words < 0.25),
-        "r_variety": _vote((variety < 0.15) & (F.col("n_words") >= 50) & (F.col("n_words") < 2000), (variety > 0.3) & (F.col("n_words") >= 50)),
+        "r_variety": _vote((variety < 0.15) & (F.col("n_words") >= 50), (variety > 0.3) & (F.col("n_words") >= 50)),
     }
 
 
@@ -125,7 +130,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     found = materialise(stats(docs, id_col, text_col), "quality_stats").withColumn("base_failed", base_failed())
     voted = found.withColumns(rule_votes())
     if model is None:
-        model = fit(voted, RULES)
+        model = fit(voted, RULES, found=FOUND)
     posterior = model.posterior({n: F.col(n) for n in RULES})
     return voted.withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 

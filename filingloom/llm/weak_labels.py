@@ -42,13 +42,17 @@ class VoteModel:
 
 
 def fit_patterns(
-    names: tuple[str, ...], patterns: list[tuple[list[int | None], int]], rounds: int = 60, smooth: float = 1.0, max_false: float = 0.005
+    names: tuple[str, ...], patterns: list[tuple[list[int | None], int]], rounds: int = 60, smooth: float = 1.0, max_false: float = 0.005,
+    found: tuple[float, float] = (0.1, 0.5),
 ) -> VoteModel:
     """EM over (votes, count) patterns.
 
     It starts from rows with any bad vote as probably bad. A rule is taken to
     vote bad on at most ``max_false`` of the good rows, so classes can't swap
-    and a kind of junk that one rule finds isn't explained away as good.
+    and a kind of junk that one rule finds isn't explained away as good. Kinds of
+    junk differ, so a rule is taken to find a share of the bad rows within
+    ``found``: the good votes of rules for other kinds don't acquit a row, and in
+    a small table a rare kind's rule keeps its say.
     An empty input gives the neutral model.
     """
     good = [0.05 if any(v == 0 for v in votes) else 0.95 for votes, _ in patterns]
@@ -68,7 +72,7 @@ def fit_patterns(
             b = (sums[0, 0] + smooth) / (sums[0, 0] + sums[0, 1] + 2 * smooth)
             g = min(g, max_false)
             if_good.append(g)
-            if_bad.append(min(max(b, 2 * g), 1 - 1e-6))
+            if_bad.append(min(max(b, found[0]), found[1]))
         prior = min(max((n_good + smooth) / (total + 2 * smooth), 1e-3), 1 - 1e-3)
         model = VoteModel(names, prior, tuple(if_good), tuple(if_bad))
         new = [1 / (1 + math.exp(min(60.0, max(-60.0, -model.log_odds(votes))))) for votes, _ in patterns]
@@ -79,8 +83,8 @@ def fit_patterns(
     return model
 
 
-def fit(votes: DataFrame, names: tuple[str, ...]) -> VoteModel:
+def fit(votes: DataFrame, names: tuple[str, ...], **settings) -> VoteModel:
     """Fit on all rows: at most 3 ** len(names) vote patterns with their counts reach the driver."""
     found = votes.groupBy(*names).agg(F.count("*").alias("_n")).collect()
     found = sorted(found, key=lambda r: tuple(-1 if r[n] is None else r[n] for n in names))
-    return fit_patterns(names, [([r[n] for n in names], r["_n"]) for r in found])
+    return fit_patterns(names, [([r[n] for n in names], r["_n"]) for r in found], **settings)

@@ -49,7 +49,7 @@ def test_rules_stage(spark, stages):
 def test_classifier_stage(spark, stages):
     (before, columns), (after, kept_columns) = rows(spark, stages[1]), rows(spark, stages[2])
     assert columns == kept_columns and not collections.Counter(after) - collections.Counter(before)
-    judged = quality_model.classify(spark.read.parquet(stages[1])).collect()
+    judged = quality_model.classify(spark.read.parquet(stages[1]), learn_from=spark.read.parquet(stages[0])).collect()
     assert sorted(i for i, _ in texts(spark, stages[2])) == sorted(r.doc_id for r in judged if r.kept)
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
     there = good & {i for i, _ in texts(spark, stages[1])}
@@ -111,6 +111,7 @@ def test_packing_stage(spark, stages):
 
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
@@ -120,6 +121,8 @@ def test_empty_table(spark, tmp_path):
 def test_extra_columns_with_clashing_names(spark, tmp_path):
     """Columns named like those that operators add pass through every stage but the last."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).selectExpr("*", "'a' AS kept", "1 AS _id", "2 AS _h", "'n' AS removed_lines", "3 AS posterior", "4 AS component_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         out = spark.read.parquet(f"{tmp_path}/{name}")
