@@ -19,8 +19,11 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps. Null and empty texts go."""
-    judged = quality_model.classify(docs)
+    """Documents that the classifier keeps. Null and empty texts go.
+
+    It learns from all ``documents``: the rules have left little junk in ``docs`` to learn from.
+    """
+    judged = quality_model.classify(docs, learn_from=table(spark, sf_dir, "documents"))
     return without(docs, judged.where("NOT kept").select("_id", "_h"))
 
 
