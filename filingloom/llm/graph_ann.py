@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise
+from filingloom.llm.common import discard, materialise
 
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
-SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
+SHARD_ROWS = 16_384
+#: Vectors that the centres are fitted on, and cells of a dimension.
+SAMPLE_ROWS, MAX_CELLS = 65_536, 4096
+#: A query searches as many cells as hold this share of the true neighbours of so many trial vectors.
+COVERAGE, TRIALS = 0.98, 128
 #: Nodes that each query expands at once.
 WIDTH = 4
 
@@ -161,7 +167,61 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(v.isNotNull() & finite & F.exists(v, lambda e: e != 0) & F.col("vec_id").isNotNull())
 
 
-INDEX = "dim int, shard int, node int, vec_id array<bigint>, v array<double>, near array<int>, start int"
+INDEX = "cell int, shard int, node int, vec_id array<bigint>, v array<double>, near array<int>, start int"
+
+
+def _centres(sample: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """``n`` centres of the sample rows by Lloyd's method from spread starts."""
+    rng = np.random.default_rng(11)
+    x = sample.astype(np.float32)
+    centres = x[rng.permutation(len(x))[:n]]
+    for _ in range(rounds):
+        cell = _nearest_cells(x, centres, 1)[:, 0]
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, x)
+        count = np.bincount(cell, minlength=n)[:, None]
+        centres = np.where(count > 0, total / np.maximum(count, 1), centres).astype(np.float32)
+    return centres
+
+
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest centres of each row, nearest first."""
+    out = []
+    for lo in range(0, len(x), 4096):
+        d = _squares(centres) - 2 * x[lo : lo + 4096].astype(np.float32) @ centres.T
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :k])
+    return np.concatenate(out) if out else np.empty((0, k), np.int64)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Graphs by cell and shard, the centres of each dimension's cells, the shards of each cell, and the cells that a query needs."""
+
+    graphs: DataFrame
+    centres: dict[int, np.ndarray]
+    shards: dict[tuple[int, int], int]
+    probes: dict[int, int]
+
+
+def _needed_cells(placed: DataFrame, dim: int, centres: np.ndarray, trials: np.ndarray, k: int = 10) -> int:
+    """The cells, nearest first, that hold COVERAGE of the ``k`` true neighbours of the trial vectors: one exact pass over all rows."""
+
+    def nearest(parts):
+        for part in parts:
+            x = np.stack(part["v"].to_numpy())
+            d = _squares(x) - 2 * trials @ x.T
+            best = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+            yield pd.DataFrame({
+                "trial": np.repeat(np.arange(len(trials)), best.shape[1]), "d": np.take_along_axis(d, best, 1).reshape(-1), "cell": part["cell"].to_numpy()[best].reshape(-1)
+            })
+
+    near = placed.where(F.col("dim") == dim).select("v", "cell").mapInPandas(nearest, "trial int, d double, cell int")
+    order = Window.partitionBy("trial").orderBy("d", "cell")
+    # The nearest is the trial vector itself.
+    true = near.withColumn("r", F.row_number().over(order)).where(F.col("r").between(2, k + 1)).select("trial", "cell").toPandas()
+    places = np.argsort(_nearest_cells(trials, centres, len(centres)), axis=1)
+    found = np.sort(places[true["trial"], true["cell"]])
+    return int(found[min(len(found) - 1, int(np.ceil(COVERAGE * len(found))))]) + 1 if len(found) else len(centres)
 
 
 def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -171,34 +231,73 @@ def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     graph, start = build_graph((x - shift).astype(np.float32))
     n = len(rows)
     return pd.DataFrame({
-        "dim": key[0], "shard": key[1], "node": np.arange(n, dtype=np.int32), "vec_id": rows["ids"], "v": rows["v"],
+        "dim": x.shape[1], "cell": key[1], "shard": key[2], "node": np.arange(n, dtype=np.int32), "vec_id": rows["ids"], "v": rows["v"],
         "near": [g[g < n].astype(np.int32) for g in graph[:n]], "start": int(start[0]),
     })
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep_ids: int = 11, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The graphs as a table: one row per distinct vector, with its shard, ids and out-neighbours.
+def _with_cells(df: DataFrame, centres: dict[int, np.ndarray], probes: int, column: str) -> DataFrame:
+    """``df`` with an array of each row's ``probes`` nearest cells; a table of centres at most MAX_CELLS large goes to the tasks."""
+
+    @F.pandas_udf("array<int>")
+    def cells(v: pd.Series) -> pd.Series:
+        out = [np.empty(0, np.int32)] * len(v)
+        sizes = v.map(len).to_numpy()
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            known = centres.get(int(dim))
+            found = np.zeros((len(at), 1), np.int64) if known is None else _nearest_cells(np.stack(v.to_numpy()[at]), known, probes)
+            for i, f in zip(at, found, strict=True):
+                out[i] = f.astype(np.int32)
+        return pd.Series(out, dtype=object)
 
-    Rows are dealt to shards by a hash of their vector. Equal vectors are one
-    node with the ``keep_ids`` smallest of their ids, which is all that a search
-    for ``keep_ids - 1`` others can return; the limit is taken by each task
-    before the shuffle, so that a vector with a third of all rows stays small.
-    Vectors null, zero or with null or non-finite components aren't indexed;
-    those of another length have shards of their own.
+    return df.withColumn(column, cells("v"))
+
+
+def build_index(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep_ids: int = 11, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS
+) -> Index:
+    """Graphs over all rows, one for each shard of a cell, as a table of one row per distinct vector.
+
+    A sample of at most ``sample_rows`` vectors, those with the smallest hashes,
+    gives the centres of about rows / ``shard_rows`` cells (MAX_CELLS at most);
+    every vector goes to the cell of its nearest centre, and cells of more than
+    ``2 * shard_rows`` vectors are dealt to several shards by a hash. Equal
+    vectors are one node with the ``keep_ids`` smallest of their ids, which is
+    all that a search for ``keep_ids - 1`` others can return; each task takes the
+    limit before the shuffle, so that a vector with a third of all rows stays
+    small. TRIALS of the sample are held against all rows, to learn how many cells
+    a query needs. Vectors null, zero or with null or non-finite components aren't
+    indexed; those of another length have cells of their own. A repeated id with
+    other vectors is a node for each.
     """
     rows = _valid(df, id_col, vector_col)
     rank = Window.partitionBy("v").orderBy("vec_id")
-    nodes = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= keep_ids).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    once = rows.distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= keep_ids)
+    nodes = once.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = materialise(nodes.select("v", "ids", F.get("ids", F.lit(0)).alias("first"), F.size("v").alias("dim")), "vectors")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    built = dealt.groupBy("dim", "shard").applyInPandas(_build_shard, INDEX)
-    return materialise(built, "graphs")
+    centres, trials = {}, {}
+    for r in nodes.groupBy("dim").count().where(F.col("count") > 2 * shard_rows).collect():
+        n = min(-(-r["count"] // shard_rows), MAX_CELLS, sample_rows // 8)
+        sample = nodes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("v"), "first").limit(sample_rows).select("v").toPandas()["v"]
+        trials[r["dim"]] = np.stack(sample.to_numpy()[:TRIALS])
+        centres[r["dim"]] = _centres(np.stack(sample.to_numpy()), n)
+    placed = materialise(_with_cells(nodes, centres, 1, "cells").withColumn("cell", F.get("cells", F.lit(0))).drop("cells"), "placed_vectors")
+    # One count for each cell: at most MAX_CELLS a dimension.
+    counts = {(r["dim"], r["cell"]): r["count"] for r in placed.groupBy("dim", "cell").count().collect()}
+    shards = {c: -(-n // (2 * shard_rows)) for c, n in counts.items()}
+    several = F.create_map(*[x for (d, c), n in sorted(shards.items()) if n > 1 for x in (F.lit(f"{d}/{c}"), F.lit(n))]) if any(n > 1 for n in shards.values()) else None
+    parts = F.lit(1) if several is None else F.coalesce(F.try_element_at(several, F.concat_ws("/", "dim", "cell")), F.lit(1))
+    probes = {d: _needed_cells(placed, d, c, trials[d]) for d, c in centres.items()}
+    dealt = placed.withColumn("shard", F.pmod(F.xxhash64("v"), parts).cast("int"))
+    built = dealt.groupBy("dim", "cell", "shard").applyInPandas(_build_shard, "dim int, " + INDEX)
+    graphs = materialise(built, "graphs")
+    discard(nodes, placed)
+    return Index(graphs, centres, shards, probes)
 
 
 def _search(k: int, beam: int):
     def run(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
         if not len(index) or not len(asked):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         index = index.sort_values("node", ignore_index=True)
@@ -208,40 +307,52 @@ def _search(k: int, beam: int):
             graph[i, : len(near)] = near
         shift = x.mean(0)
         small = (x - shift).astype(np.float32)
-        q = np.stack(asked["v"].to_numpy())
-        ids, out = index["vec_id"].to_numpy(), []
+        norms = _squares(small)
+        q, own_ids = np.stack(asked["v"].to_numpy()), asked["query_id"].to_numpy()
+        ids, many = index["vec_id"].to_numpy(), index["vec_id"].map(len).to_numpy()
+        only = np.array([i[0] for i in ids], np.int64)
+        out = []
         for lo in range(0, len(q), 256):
-            found, _ = beam_search(small, _squares(small), graph, np.array([index["start"][0]]), (q[lo : lo + 256] - shift).astype(np.float32), beam)
-            for r, own in enumerate(asked["query_id"].to_numpy()[lo : lo + 256]):
+            found, _ = beam_search(small, norms, graph, np.array([index["start"][0]]), (q[lo : lo + 256] - shift).astype(np.float32), beam)
+            for r, own in enumerate(own_ids[lo : lo + 256]):
                 nodes = found[r][found[r] >= 0]
                 score = np.sqrt(((x[nodes] - q[lo + r]) ** 2).sum(1))
-                vec = np.concatenate([ids[i] for i in nodes])
-                score = np.repeat(score, [len(ids[i]) for i in nodes])
+                vec = only[nodes]
+                if many[nodes].max(initial=1) > 1:
+                    vec, score = np.concatenate([ids[i] for i in nodes]), np.repeat(score, many[nodes])
                 vec, score = vec[vec != own], score[vec != own]
                 best = np.lexsort((vec, score))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": vec[best], "score": score[best]}))
-        return pd.concat(out)[columns]
+                out.append((np.full(len(best), own), vec[best], score[best]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` nearest of ``index`` found for each query row, without the row of its own id.
+def search(
+    index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, beam: int = SEARCH_BEAM, probes: int | None = None
+) -> DataFrame:
+    """The ``k`` nearest of ``index`` found for each query id, without the rows of that id.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean
     distance in double precision on the original vectors); ties go to the
-    smaller id. Every query searches every shard of its vectors' length by beam
-    search; queries meet a shard in blocks of about ``query_block``. Invalid
-    vectors ask nothing; an empty table gives no rows; repeated rows of an id
-    are one.
+    smaller id. A query goes to the cells with the nearest centres and
+    beam-searches every shard of them: to ``probes`` cells, or to as many as the
+    index found to hold COVERAGE of true neighbours. Vectors with clusters need
+    few, however many rows there are; those without any, like random ones, need
+    most, and the search is then one of every shard.
+
+    Invalid vectors ask nothing; an empty table gives no rows. An id that repeats
+    with other vectors is one query and one candidate: its distance to another is
+    the smallest of its vectors'.
     """
-    asked = _valid(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).dropDuplicates(["query_id"])
-    asked = materialise(asked, "queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    shards = index.agg(F.max("shard")).first()[0] or 0
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("dim", "shard", "block")
-    right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards)))).groupBy("dim", "shard", "block")
-    found = left.cogroup(right).applyInPandas(_search(k, beam), "query_id bigint, vec_id bigint, score double")
+    asked = _valid(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    most = max([1, *index.probes.values()]) if probes is None else probes
+    asked = _with_cells(asked, index.centres, most, "cells").withColumn("dim", F.size("v"))
+    asked = asked.select("query_id", "v", "dim", F.explode("cells").alias("cell"))
+    # The shards of a cell are those that hold its graphs.
+    held = index.graphs.select(*[(F.col(c) + 0).alias(c) for c in ("dim", "cell", "shard")]).distinct()
+    asked = asked.join(held, ["dim", "cell"])
+    found = index.graphs.groupBy("dim", "cell", "shard").cogroup(asked.groupBy("dim", "cell", "shard")).applyInPandas(_search(k, beam), "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
