@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the template, then marks of other templates that texts must not carry either.
@@ -25,10 +25,6 @@ def _literal(s: str) -> str:
     return "".join("\\" + c if c in "[]|/<>" else c for c in s)
 
 
-def _append(arr: Column, x: Column) -> Column:
-    return F.concat(arr, F.array(x))
-
-
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_id``, ``formatted`` and ``loss_spans`` (start from 0 and length, in code points).
 
@@ -36,52 +32,38 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     same role become one block that keeps their bounds:
     ``<s>[INST] role [/INST] text (<|join|> text)* </s>`` without the blanks.
     Roles and texts are escaped, so that marks in the output are the template's
-    only. Loss spans hold each text of ``loss_role``.
+    only. Loss spans hold each text of ``loss_role``: where it starts is a running
+    sum over the sorted turns, so the work is in proportion to them.
 
-    Null texts and roles count as empty, rows with a null conversation id form
-    one conversation, repeated rows are turns of their own, an empty table gives
-    no rows, other columns are not read.
+    Null texts and roles count as empty. A row with a null conversation id is a
+    conversation of its own, with rows equal to it, so that such rows spread.
+    Repeated rows are turns of their own, an empty table gives no rows, other
+    columns are not read.
     """
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(
-            F.col(turn_col).alias("turn"),
-            F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-            escape(F.coalesce(F.col(text_col), F.lit(""))).alias("body"),
-        ).alias("t"),
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    head = lambda role: F.concat(F.lit(OPEN), escape(role), F.lit(ROLE_END))
+    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    own = F.when(F.col(conv_col).isNull(), F.sha2(F.to_json(F.struct(F.col(turn_col).alias("t"), role.alias("r"), text.alias("x"))), 256))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), own.alias("own"), F.col(turn_col).alias("turn"), role.alias("role"), escape(text).alias("body"))
+    sorted_turns = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "body")
+    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(ROLE_END))
+    joined = F.coalesce(F.lag("role").over(sorted_turns) == F.col("role"), F.lit(False))
+    goes_on = F.coalesce(F.lead("role").over(sorted_turns) == F.col("role"), F.lit(False))
     # For each turn: what stands before its text, its text, what closes it; a block opens or closes where the role changes.
-    piece = "struct<before:string,body:string,after:string,loss:boolean>"
-
-    def pieces(ts: Column) -> Column:
-        return F.transform(
-            ts,
-            lambda t, i: F.struct(
-                F.when((i > 0) & (F.get(ts, i - 1)["role"] == t["role"]), F.lit(JOIN)).otherwise(head(t["role"])).alias("before"),
-                t["body"].alias("body"),
-                F.when(F.get(ts, i + 1)["role"] == t["role"], F.lit("")).otherwise(F.lit(CLOSE)).alias("after"),
-                (t["role"] == loss_role).alias("loss"),
-            ).cast(piece),
-        )
-
-    state = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["before"])
-        span = F.struct(start.alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct(
-            (start + F.length(p["body"]) + F.length(p["after"])).alias("at"),
-            F.when(p["loss"], _append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        ).cast(state)
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(state)
-    pieced = sorted_turns.select("conv_id", pieces(F.col("turns")).alias("p"))
-    return pieced.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
-        F.aggregate("p", empty, step, lambda acc: acc["spans"]).alias("loss_spans"),
+    pieces = rows.select(
+        "conv_id", "own", "turn", "role", "body", F.row_number().over(sorted_turns).alias("at"),
+        F.when(joined, F.lit(JOIN)).otherwise(head).alias("before"), F.when(goes_on, F.lit("")).otherwise(F.lit(CLOSE)).alias("after"),
+    )
+    upto = F.sum(F.length("before") + F.length("body") + F.length("after")).over(sorted_turns.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = pieces.withColumn("end", upto).select(
+        "conv_id", "own", "at", F.concat("before", "body", "after").alias("piece"),
+        F.when(
+            F.col("role") == loss_role,
+            F.struct((F.col("end") - F.length("after") - F.length("body")).cast("int").alias("start"), F.length("body").cast("int").alias("length")),
+        ).alias("span"),
+    )
+    done = placed.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "span"))).alias("t"))
+    return done.select(
+        "conv_id", F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
+        F.filter(F.transform("t", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
