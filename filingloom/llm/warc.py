@@ -18,7 +18,6 @@ CHUNK_BYTES = 1 << 20
 RECORD = "urn:record:page:"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 16
 
 
 def _base32(raw: bytes) -> str:
@@ -31,11 +30,11 @@ def record_chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest")
     )
-    same = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("target"), F.count("*").alias("copies")).where("copies > 1")
-    # A payload with a third of all rows is dealt to SALTS parts of the join.
-    same = same.select("digest", "n", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    marked = rows.join(same, ["digest", "n", "salt"], "left").withColumn("refers_to", F.when(F.col("target") != F.col("page_id"), F.col("target")))
+    # Revisits are found on ids and digests alone; payloads then meet their marks by page, where no key is hot.
+    slim = rows.select("page_id", "digest", "n")
+    same = slim.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    revisits = slim.join(same.hint("merge"), ["digest", "n"]).where("refers_to != page_id").select("page_id", "digest", "refers_to").distinct()
+    marked = rows.join(revisits.hint("merge"), ["page_id", "digest"], "left")
     chunks = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("n") / chunk_bytes), F.lit(1))).cast("int")
     data: Column = F.when(F.col("refers_to").isNotNull(), F.lit(bytearray())).otherwise(F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
     return marked.select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk_no")).select("page_id", "url", "n", "digest", "refers_to", "chunk_no", data.alias("data"))
