@@ -43,6 +43,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op5_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can tell: its counts and base test."""
+    counted = quality_rules.stats(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", *quality_rules.STATS, quality_rules.base_failed().alias("base_failed"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.QUERY_RULES))
 
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_graph_ann": op4_graph_ann,
         "op5_quality_rules": op5_quality_rules,
+        "op5_base_counts": op5_base_counts,
         "op6_url_filters": op6_url_filters,
         "op7_chat_format": op7_chat_format,
         "op8_byte_bpe": op8_byte_bpe,
@@ -107,16 +114,16 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 m AS (
-  SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joined,
+  SELECT *, CASE WHEN conv_id IS NULL THEN (turn, role, text) END AS own, lag(role) OVER w IS NOT DISTINCT FROM role AS joined,
     length(text) + length(text) - length(replace(text, '\', ''))
       + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<\|join\|>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>')) AS body
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  FROM t WINDOW w AS (PARTITION BY conv_id, CASE WHEN conv_id IS NULL THEN (turn, role, text) END ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(body + CASE WHEN joined THEN 8 ELSE 9 + length(role) + 7 + 4 END) AS BIGINT) AS formatted_chars
-FROM m GROUP BY conv_id
+FROM m GROUP BY conv_id, own
 """
 
 
@@ -142,6 +149,32 @@ kept AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, k.removed_lines FROM docs d JOIN kept k USING (doc_id)
 """
 
+#: Base 32 digits of five bits each, from the hexadecimal digest taken five digits at a time.
+_OP2 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT hex, n, max(page_id) AS target FROM p GROUP BY hex, n),
+d AS (
+  SELECT *, list_transform(range(0, 40, 5), lambda i: CAST('0x' || substr(hex, CAST(i AS INT) + 1, 5) AS BIGINT)) AS twenty FROM p JOIN r USING (hex, n))
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(twenty, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN target != page_id THEN target END AS refers_to
+FROM d
+"""
+
+_OP5_BASE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i : i + 7] AS words FROM t, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, words) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+s AS (
+  SELECT t.doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
+"""
+
 _OP10 = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -160,4 +193,4 @@ FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op6_url_filters": _OP6, "op7_chat_format": _OP7, "op10_minhash_dedup": _OP10}
+    return {"op1_line_dedup": _OP1, "op2_warc": _OP2, "op5_base_counts": _OP5_BASE, "op6_url_filters": _OP6, "op7_chat_format": _OP7, "op10_minhash_dedup": _OP10}

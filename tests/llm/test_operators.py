@@ -101,6 +101,9 @@ def test_warc_round_trip(spark, empty):
             assert b"".join(bytes(r.data) for r in got[i]) == raw
     assert got[2][0].refers_to == 3 and got[4][0].refers_to == 5 and got[5][0].record_type == "response"
     assert warc.dangling_revisits(chunks).count() == 0
+    twice = pages.union(pages.where("page_id IN (2, 3)")).selectExpr("*", "'x' AS digest", "1 AS n", "2 AS payload", "3 AS refers_to")
+    last = warc.read_chunks(warc.write_archives(twice)).where("is_last").select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, last), key=str) == sorted([(1, "response", None), *[(2, "revisit", 3)] * 2, *[(3, "response", None)] * 2, (4, "revisit", 5), (5, "response", None), (6, "response", None)], key=str)
     assert warc.read_chunks(warc.write_archives(pages.where("false"))).count() == 0
 
 
@@ -125,6 +128,34 @@ def test_graph_recall(spark):
     assert hits / (10 * len(got)) >= 0.9 and len(got) == 30
 
 
+def test_graph_repeated_ids_and_odd_tables(spark):
+    rows = [(1, [0.0, 1.0]), (1, [5.0, 5.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [5.0, 6.0]), (4, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS dim", "2 AS cell", "3 AS shard", "4 AS v")
+    found = graph_ann.search(graph_ann.build_index(df), df).orderBy("query_id", "rank").collect()
+    assert [(r.vec_id, r.score) for r in found if r.query_id == 1] == [(2, 1.0), (3, 1.0), (4, 32**0.5)]
+    assert [r.vec_id for r in found if r.query_id == 4] == [3, 1, 2] and [r.rank for r in found if r.query_id == 4] == [1, 2, 3]
+    none = df.where("false")
+    assert graph_ann.search(graph_ann.build_index(none), none).count() == 0 and graph_ann.search(graph_ann.build_index(df), none).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [128, 16_384])
+def test_graph_recall_on_embeddings(spark, shard_rows):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = graph_ann.build_index(df, shard_rows=shard_rows)
+    found = graph_ann.search(index, df.where("vec_id % 50 = 0")).collect()
+    near = collections.defaultdict(set)
+    for r in found:
+        near[r.query_id].add(r.vec_id)
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = 0
+    for q in near:
+        d = ((x - x[ids == q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(near[q] & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(near) and len(near) == (ids % 50 == 0).sum()
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<s>\\[INST]\\\\<\\s>"), (1, 1, "assistant", "a</s>"), (1, 2, "assistant", None), (1, 3, None, "x"), (2, 0, "assistant", ""), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -133,6 +164,14 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[1].t] == [(r or "", t or "") for c, _, r, t in rows if c == 1]
     assert got[1].l == "a</s>" and got[2].l == "" and [t.text for t in got[2].t] == [""]
     assert chat_format.format_conversations(df.where("false")).count() == 0
+    nulls = df.where("conv_id IS NULL").union(spark.createDataFrame([(None, 0, "user", "n"), (None, 1, "user", "m")], df.schema))
+    assert sorted(r.formatted.count("n") for r in chat_format.format_conversations(nulls.selectExpr("*", "1 AS own", "2 AS formatted")).collect()) == [0, 3]  # with that of the mark between
+
+
+def test_long_conversation(spark):
+    turns = spark.range(30_000).selectExpr("id % 3 AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role", "concat('t', id) AS text")
+    done = chat_format.format_conversations(turns).select(F.size("loss_spans").alias("n"), chat_format.loss_text(F.col("formatted"), F.slice("loss_spans", 1, 2)).alias("two"), "conv_id").collect()
+    assert {r.conv_id: (r.n, r.two) for r in done} == {0: (5000, "t0t6"), 1: (5000, "t4t10"), 2: (5000, "t2t8")}
 
 
 def test_url_rules(spark):
@@ -142,6 +181,10 @@ def test_url_rules(spark):
     got = [(r.page_id, r.rule, r.verdict) for r in url_filters.judge(pages, rules).orderBy("page_id").collect()]
     expect = ["com/en/", "example.com/en/7", "com/en/", "net/de/", "example.net/de/8", None, None, None, "com/en/"]
     assert [g[1] for g in got] == [expect[0], *expect] and got[3][2] == "block" and got[2][2] == "allow"
+    few = url_filters.judge(pages.selectExpr("*", "'x' AS host", "1 AS salt"), rules, salt_rows=1).orderBy("page_id").collect()
+    assert [(r.page_id, r.rule, r.verdict) for r in few] == got
+    long = spark.createDataFrame([(1, "http://" + "a." * 300 + "com/en/" + "x" * 100_000), (2, "http://com" + "/" * 50_000)], "page_id long, url string")
+    assert [r.rule for r in url_filters.judge(long, rules).orderBy("page_id").collect()] == ["com/en/", None]
     assert url_filters.judge(pages.where("false"), rules).count() == 0 and url_filters.judge(pages, rules.where("false")).count() == 10
 
 
