@@ -92,8 +92,11 @@ def _occurrences(parts: DataFrame) -> DataFrame:
     """Place, lines and digests of each run of ``_lines``."""
     # An inner explode would have the planner filter on the spans, and compute them three times.
     found = parts.select("_id", "_h", "_lines", F.explode_outer(_spans(F.col("_lines"))).alias("s")).where("s IS NOT NULL")
-    run = F.slice("_lines", F.col("s.first") + 1, F.col("s.n"))
-    return found.select("_id", "_h", "s.first", "s.n", F.xxhash64(run).alias("d1"), F.xxhash64(F.lit(1), run).alias("d2"))
+    return found.select("_id", "_h", "s.first", "s.n", *_digests(F.slice("_lines", F.col("s.first") + 1, F.col("s.n"))))
+
+
+def _digests(run: Column) -> list[Column]:
+    return [F.xxhash64(run).alias("d1"), F.xxhash64(F.lit(1), run).alias("d2")]
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,21 +128,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = row_key(F.col(id_col), F.col(text_col))
     place = F.struct("_id", "_h", "first")
     seen = materialise(_occurrences(docs.select(*key, _lines(F.col(text_col)).alias("_lines"))), "run_digests")
-    repeated = seen.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("earliest")).where("times > 1").select("d1", "d2", "earliest")
-    marks = seen.join(materialise(repeated, "repeated_runs").hint("merge"), ["d1", "d2"]).groupBy("_id", "_h").agg(
-        F.collect_set(F.struct("first", "n", "d1", "d2", (place != F.col("earliest")).alias("later"))).alias("_marks")
+    repeated = materialise(seen.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("earliest")).where("times > 1").select("d1", "d2", "earliest"), "repeated_runs")
+    marks = seen.join(repeated.hint("merge"), ["d1", "d2"]).groupBy("_id", "_h").agg(
+        F.collect_set(F.struct("first", "n", (place != F.col("earliest")).alias("later"))).alias("_marks")
     )
     marks = materialise(marks, "marks")
-    discard(seen)
+    discard(seen, repeated)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
     marked = materialise(rows.join(marks.hint("merge"), ["_id", "_h"], "left"), "marked_rows")
-    runs = marked.where("_marks IS NOT NULL").select(_lines(F.col("_row")[text_col]).alias("_lines"), F.explode("_marks").alias("m"))
-    runs = runs.select("m.d1", "m.d2", F.array_join(F.slice("_lines", F.col("m.first") + 1, F.col("m.n")), "\n").alias("run"))
+    runs = marked.where("_marks IS NOT NULL").select("_id", "_h", _lines(F.col("_row")[text_col]).alias("_lines"), F.explode("_marks").alias("m"))
+    runs = runs.select("_id", "_h", "m", F.slice("_lines", F.col("m.first") + 1, F.col("m.n")).alias("run")).select("_id", "_h", "m", *_digests(F.col("run")), F.array_join("run", "\n").alias("run"))
     unequal = runs.groupBy("d1", "d2").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo != hi").select("d1", "d2")
     unequal = materialise(unequal, "unequal_runs")
     if not unequal.isEmpty():
-        each = marks.select("_id", "_h", F.explode("_marks").alias("m")).withColumns({"d1": F.col("m.d1"), "d2": F.col("m.d2")})
-        spared = each.join(unequal, ["d1", "d2"]).groupBy("_id", "_h").agg(F.collect_set("m").alias("_spared"))
+        spared = runs.select("_id", "_h", "m", "d1", "d2").join(unequal, ["d1", "d2"]).groupBy("_id", "_h").agg(F.collect_set("m").alias("_spared"))
         marked = marked.join(spared.hint("merge"), ["_id", "_h"], "left").withColumn("_marks", F.when(F.col("_spared").isNull(), F.col("_marks")).otherwise(F.array_except("_marks", "_spared")))
     gone = F.filter("_marks", lambda m: m["later"])
     out = F.array_distinct(F.flatten(F.transform(gone, lambda m: F.sequence(m["first"], m["first"] + m["n"] - 1))))
