@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingloom.operators.ordered import numbered_in_order
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name; missing columns are null."""
@@ -31,8 +33,8 @@ def catalog(facts: DataFrame, keys: Sequence[str], product: str, period: str) ->
     g = facts.groupBy(*keys).agg(F.countDistinct(product).alias("products"), F.min(years).alias("lo"), F.max(years).alias("hi"), F.count("*").alias("records"))
     span = F.when(F.col("lo").isNull(), "").when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("-", "lo", "hi"))
     # One row per table meets here, not one per fact.
-    order = F.row_number().over(Window.orderBy(*keys))
-    return g.select(F.format_string("TBL_%03d", order).alias("table_id"), *keys, "products", span.alias("years"), "records")
+    g = numbered_in_order(g.withColumn("_key", F.struct(*keys)), "_key", "_n")
+    return g.select(F.format_string("TBL_%03d", "_n").alias("table_id"), *keys, "products", span.alias("years"), "records")
 
 
 def outer_periods(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str], value: str) -> DataFrame:

@@ -61,10 +61,27 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value:
     return filled.where("_side = 1").drop("_side")
 
 
+def numbered_in_order(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``name``: 1, 2, ... over the whole table in the order of a column; ranges are numbered in parallel.
+
+    Rows are dealt to ranges by the column, counted, and numbered within their
+    range from the number of rows before it; one count a range is all that meets
+    in one place. Rows of equal values are numbered in any order.
+    """
+    # Ranges are drawn by sampling, so they are fixed by a checkpoint where one is set.
+    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        ranged = ranged.checkpoint()
+    ends = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = ends.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).drop("_range", "_within", "_before")
+
+
 def dense_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``id``: n for the first row of the n-th distinct key by order, n_k for its k-th repeat."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    numbered = numbered_in_order(first, "_first", "_n").drop("_first")
     rep = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     joined = df.withColumn("_k", rep).join(numbered, list(keys))
     return joined.withColumn("id", F.when(F.col("_k") == 0, F.col("_n").cast("string")).otherwise(F.concat_ws("_", "_n", "_k"))).drop("_k", "_n")

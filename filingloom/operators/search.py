@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that a search sends to every task, at most; more are dealt in blocks.
+BROADCAST_QUERIES = 1000
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """Top ``k`` by inner product for a few query rows (``query_id``, ``query``), filtered before the top-k.
+    """Top ``k`` by inner product for query rows (``query_id``, ``query``), filtered before the top-k.
 
-    The queries are a stated, small set and go to every task; the rank limit is
-    taken by each task before its shuffle.
+    Up to BROADCAST_QUERIES queries go to every task, more meet the corpus in
+    blocks; the rank limit is taken by each task before its shuffle.
     """
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return knn_blocks(corpus, queries, k, id_col, vector, where)
     rows = corpus if where is None else corpus.where(where)
     scored = rows.join(F.broadcast(queries)).select("query_id", F.col(id_col).alias("id"), dot(F.col(vector), F.col("query")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
@@ -35,24 +41,100 @@ def knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def term_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings: ``term``, ``id``, ``tf`` and the document's length ``len``, over lower-case blank-separated tokens.
+
+    One pass over the texts; written once, partitioned or bucketed by term, it
+    serves every search.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda w: w != "")
+    # Tokens of one document are counted where it stands.
+    each = docs.select(F.col(id_col).alias("id"), F.array_sort(words).alias("w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = F.transform(starts, lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size("w")) - i).alias("tf")))
+    return each.where(F.size("w") > 0).select("id", F.size("w").alias("len"), F.explode(runs).alias("r")).select("r.term", "id", "r.tf", "len")
+
+
+def term_statistics(index: DataFrame) -> DataFrame:
+    """``term`` and its documents ``df``."""
+    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _times(term: str) -> Column:
+    return F.size(F.filter("w", lambda w: w == F.lit(term)))
+
+
 def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Top ``k`` of Okapi BM25 over lower-case blank-separated tokens; negative idf becomes epsilon times the mean idf of the query's terms that are positive."""
+    """Top ``k`` of Okapi BM25 over lower-case blank-separated tokens.
+
+    A negative idf, of a term in over half of the documents, becomes ``epsilon``
+    times the average idf of all terms of the corpus. Documents without tokens
+    count in their number and mean length.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda w: w != "")
-    count = lambda t: F.size(F.filter("w", lambda w: w == F.lit(t)))
-    counts = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    tf = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").alias("len"), *counts)
-    s = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    # Documents of each term: distinct tokens of a document, counted by each task first.
+    df = rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = {f"d{i}": F.max(F.when(F.col("term") == t, F.col("df"))) for i, t in enumerate(terms)}
+    known = df.crossJoin(F.broadcast(size)).agg(F.avg(idf).alias("mean"), *[c.alias(n) for n, c in asked.items()])
+    stats = size.crossJoin(known)
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        idf = F.when(idf < 0, F.lit(epsilon)).otherwise(idf)
-        f = F.col(f"tf{i}")
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(s)).select("id", F.round(score, 6).alias("score")).where("score > 0")
+    for i, t in enumerate(terms):
+        own = F.log((F.col("n") - F.coalesce(f"d{i}", F.lit(0)) + 0.5) / (F.coalesce(f"d{i}", F.lit(0)) + 0.5))
+        own = F.when(own < 0, epsilon * F.col("mean")).otherwise(own)
+        f = _times(t)
+        score = score + own * f * (k1 + 1) / (f + k1 * (1 - b + b * F.size("w") / F.col("avgdl")))
+    # One row of statistics.
+    scored = rows.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score")).where("score > 0")
     # The limit is a feature: the k best documents of one query.
     return scored.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def bm25_index(index: DataFrame, terms: list[str], k: int, n: int, avgdl: float, mean_idf: float, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``bm25`` over a stored ``term_index`` and its three stored figures: reads the postings of the query's terms only."""
+    hits = index.where(F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf < 0, F.lit(epsilon * mean_idf)).otherwise(idf)
+    # As many rows as the query has terms.
+    part = hits.join(F.broadcast(df.select("term", idf.alias("idf"))), "term").withColumn("s", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl)))
+    scored = part.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
+    """Write the postings sorted by term, so that a search reads the row groups of its terms only, and the corpus figures."""
+    spark = docs.sparkSession
+    term_index(docs, id_col, text).repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    index = spark.read.parquet(f"{path}/postings")
+    # Documents without tokens count too.
+    size = docs.agg(F.count("*").alias("n")).crossJoin(index.agg(F.sum("tf").alias("tokens")))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = term_statistics(index).crossJoin(F.broadcast(size)).agg(F.avg(idf).alias("mean_idf"))
+    size.crossJoin(mean).write.parquet(f"{path}/figures")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], k: int, **settings) -> DataFrame:
+    """``bm25`` over what ``store_index`` wrote."""
+    f = spark.read.parquet(f"{path}/figures").first()
+    return bm25_index(spark.read.parquet(f"{path}/postings"), terms, k, f["n"], f["tokens"] / f["n"], f["mean_idf"], **settings)
+
+
+def above(lists: DataFrame, least: float) -> DataFrame:
+    """Results with a score of ``least`` or more."""
+    return lists.where(F.col("score") >= least)
+
+
+def matching(rows: DataFrame, filters: dict[str, object]) -> DataFrame:
+    """Rows that fit all filters: a text is contained in any case, a list holds the value, another value is equal."""
+    for name, value in filters.items():
+        c = F.col(name)
+        rows = rows.where(c.isin(value) if isinstance(value, list) else F.contains(F.lower(c), F.lit(value.lower())) if isinstance(value, str) else c == value)
+    return rows
+
+
 def rrf(lists: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, strategy, id, rank): sum of weight / (k + rank), and appearances."""
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Literals that a cell's missing value is written as.
 NA_LITERALS = ["N/A", "NA", "nan", "NaN", "null", "NULL", "None", "n/a", "<NA>", "#N/A"]
@@ -14,12 +17,18 @@ NA_LITERALS = ["N/A", "NA", "nan", "NaN", "null", "NULL", "None", "n/a", "<NA>",
 def csv_folder(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Headed CSV files of differing columns, united by name; missing literals become null.
 
-    Each file is read by its own header: one read of many files would take the
-    first one's for all.
+    The first lines of all files are read in one distributed pass; files of one
+    header are one scan with that header as its schema, so that the plan grows
+    with the kinds of files and not with their number. All columns are texts.
     """
+    heads = spark.read.text(paths, wholetext=False).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("n"))
+    first = heads.groupBy("path").agg(F.min_by("value", "n").alias("head"))
+    kinds = first.groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()
     frames = []
-    for p in paths:
-        df = spark.read.option("header", True).option("encoding", "UTF-8").csv(p)
+    for kind in kinds:
+        names = next(csv.reader([kind["head"].lstrip("\ufeff")]))
+        schema = StructType([StructField(c, StringType()) for c in names])
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv([unquote(p) for p in kind["paths"]])
         frames.append(df.select(*[F.when(~F.col(f"`{c}`").isin(NA_LITERALS), F.col(f"`{c}`")).alias(c) for c in df.columns]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
