@@ -69,3 +69,33 @@ def is_number(value: Column) -> Column:
 def mixed(kinds: Column) -> Column:
     """Whether an array of period kinds holds several besides ``other``."""
     return F.size(F.array_distinct(F.filter(kinds, lambda k: k != "other"))) > 1
+
+
+#: Words of a label that is a date, and full period codes.
+DATED = "months ended|at |as of |q[1-4]-|ytd-|qtd-"
+FULL_CODE = "^(Q[1-4]-(QTD|YTD)?-?20\\d{2}|YTD-20\\d{2})$"
+
+
+def with_periods(labels: Column, codes: Column) -> Column:
+    """Each label that is no date before each period code, each combination once; other codes stand alone. Without such labels the codes as they are."""
+    plain = F.filter(F.transform(labels, lambda x: F.trim(x)), lambda s: (s != "") & ~F.lower(s).rlike(DATED))
+    join = lambda s: F.transform(codes, lambda c: F.when(F.trim(c).rlike(FULL_CODE), F.concat_ws(" ", s, F.trim(c))).otherwise(F.trim(c)))
+    crossed = F.array_distinct(F.flatten(F.transform(plain, join)))
+    return F.when(F.size(crossed) > 0, crossed).otherwise(codes)
+
+
+def with_dates(spans: Column, dates: Column) -> Column:
+    """Period codes of spans such as ``Three Months Ended`` with each date; spans with a year give their own code, others stay. Each once."""
+    from filingloom.functions.period import MONTHS, header_code
+
+    dated = lambda d: d.rlike("^20\\d{2}$") | (F.lower(d).rlike("|".join(m[:3] for m in MONTHS)) & d.rlike("20\\d{2}"))
+    bare = lambda s: F.regexp_replace(s, ",+$", "")
+
+    def of(span: Column) -> Column:
+        s = F.trim(span)
+        period = F.lower(s).rlike("months ended|at |as of ")
+        each = F.transform(F.filter(F.transform(dates, lambda x: F.trim(x)), dated), lambda d: header_code(F.concat_ws(" ", bare(s), d)))
+        return F.when(period & s.rlike("20\\d{2}"), F.array(header_code(s))).when(period & (F.size(dates) > 0), each).otherwise(F.array(s))
+
+    codes = F.array_distinct(F.filter(F.flatten(F.transform(spans, of)), lambda c: c.isNotNull() & (c != "")))
+    return F.when(F.size(codes) > 0, codes).otherwise(spans)

@@ -71,3 +71,23 @@ def sort_key(code: Column) -> Column:
 def end_date(year: Column, quarter: Column) -> Column:
     """Last day of a quarter; without a quarter the year's."""
     return F.last_day(F.make_date(year, F.coalesce(quarter, F.lit(4)) * 3, F.lit(1)))
+
+
+#: Month and days in which each quarter's filing comes.
+FILING_WINDOWS = {"Q1": (5, 5, 15), "Q2": (8, 5, 15), "Q3": (11, 5, 15), "10K": (2, 20, 28)}
+
+
+def relation(year: Column, quarter: Column, other_year: Column, other_quarter: Column) -> Column:
+    """same, sequential (neighbouring quarters), yoy (the quarter a year apart) or different; a whole year has a null quarter."""
+    years, quarters = F.abs(year - other_year), F.abs(quarter - other_quarter)
+    equal = quarter.eqNullSafe(other_quarter)
+    apart = F.coalesce(F.abs((year * 4 + quarter) - (other_year * 4 + other_quarter)) == 1, F.lit(False)) & quarters.isNotNull()
+    return F.when((years == 0) & equal, "same").when(apart, "sequential").when((years == 1) & equal, "yoy").otherwise("different")
+
+
+def in_filing_window(quarter: Column, day: Column) -> Column:
+    """Whether a date lies in the window in which a quarter (Q1 to Q3, 10K) is filed."""
+    fits = F.lit(False)
+    for name, (month, first, last) in FILING_WINDOWS.items():
+        fits = fits | ((quarter == name) & (F.month(day) == month) & F.dayofmonth(day).between(first, last))
+    return F.coalesce(fits, F.lit(False))

@@ -92,3 +92,57 @@ def to_base(value: Column, unit: Column) -> Column:
     """The value times its unit word's factor; unknown words count one."""
     factor = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
     return value * F.coalesce(F.try_element_at(factor, F.regexp_replace(F.lower(F.trim(unit)), "s$", "")), F.lit(1.0))
+
+
+#: Well-formed numbers of a cell, and garbled or numeric contents of a table.
+WELL_FORMED = "^\\$?[\\d,]+\\.?\\d*$|^\\([\\d,]+\\.?\\d*\\)$|^-?[\\d.]+%$|^-?[\\d,]+\\.?\\d*$"
+GARBLED = "[^\\x00-\\x7F]{5,}|\\?{3,}|\\x{FFFD}{2,}"
+#: Shares of the parts of a table's score and of an extraction's.
+TABLE_SHARES = {"structure": 0.20, "completeness": 0.15, "consistency": 0.10, "numbers": 0.20, "header": 0.10, "content": 0.15, "metadata": 0.10}
+EXTRACTION_SHARES = {"tables": 0.20, "cells": 0.30, "structure": 0.25, "text": 0.15, "backend": 0.10}
+
+
+def _share(part: Column, whole: Column, empty: float) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(empty)
+
+
+def numeric_accuracy(rows: Column) -> Column:
+    """Share of well-formed numbers among the cells with digits that are no label and no header; 0 without any."""
+    data = lambda r: F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1)))
+    cells = F.flatten(F.transform(data(rows), data))
+    digits = F.filter(F.transform(cells, lambda x: F.trim(x)), lambda c: c.rlike("\\d") & (F.lower(c) != "n/a"))
+    return _share(F.size(F.filter(digits, lambda c: c.rlike(WELL_FORMED))), F.size(digits), 0.0)
+
+
+def header_score(header: Column) -> Column:
+    """1, less 0.1 for each empty, numeric or one-letter cell; not below 0."""
+    plain = F.transform(header, lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    count = lambda p: F.size(F.filter(plain, lambda c: c.rlike(p)))
+    return F.greatest(F.lit(0.0), 1.0 - 0.1 * (count("^$") + count("^\\d") + count("^.$")))
+
+
+def content_score(rows: Column) -> Column:
+    """1 less the share of cells of which over 30% are odd characters; 0 under two rows."""
+    cells = F.transform(F.flatten(rows), lambda c: F.coalesce(c, F.lit("")))
+    odd = lambda c: F.length(F.regexp_replace(c, "[\\p{L}\\p{N} .,%\\-$()]", "")) > 0.3 * F.greatest(F.length(c), F.lit(1))
+    return F.when(F.size(rows) < 2, 0.0).otherwise(1.0 - _share(F.size(F.filter(cells, odd)), F.size(cells), 0.0))
+
+
+def filled_share(*fields: Column) -> Column:
+    """Share of the fields that are not null."""
+    return sum((f.isNotNull().cast("int") for f in fields), F.lit(0)) / len(fields)
+
+
+def table_score(**parts: Column) -> Column:
+    """0 to 100 by the shares of TABLE_SHARES; all parts are wanted."""
+    return 100 * sum((parts[name] * share for name, share in TABLE_SHARES.items()), F.lit(0.0))
+
+
+def extraction_quality(**parts: Column) -> Column:
+    """Points of an extraction by EXTRACTION_SHARES, 100 at most."""
+    return F.least(sum((parts[name] * share for name, share in EXTRACTION_SHARES.items()), F.lit(0.0)), F.lit(100.0))
+
+
+def text_quality(content: Column) -> Column:
+    """0 without a table, 5 for garbled text, 15 for one with numbers, else 10."""
+    return F.when(F.coalesce(content, F.lit("")) == "", 0).when(content.rlike(GARBLED), 5).when(content.rlike("\\d"), 15).otherwise(10)

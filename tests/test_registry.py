@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from filingloom.plans import grids, registry, texts  # noqa: F401
+from filingloom.plans import cases, grids, registry, tables, texts  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
