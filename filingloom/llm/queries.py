@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import byte_bpe, chat_format, graph_ann, line_dedup, minhash, packing, quality_model, quality_rules, url_filters, warc
+from filingloom.llm import byte_bpe, centroids, chat_format, exact_dedup, fill_middle, graph_ann, line_dedup, minhash, packing, quality_model, quality_rules, url_filters, warc
 from filingloom.llm.common import table
 
 
@@ -79,6 +79,20 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -92,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_centroids": op12_centroids,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -192,5 +209,56 @@ FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), i, 8) AS BIGINT)) AS h
+  FROM documents),
+f AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 :], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def _op12(k: int = 40, rounds: int = 5) -> str:
+    """The rounds one after another, each a pair of tables."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, v, struct_extract(best, 'd') AS d, struct_extract(best, 'c') AS c
+  FROM (SELECT rid, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min({{'d': CAST(list_sum(list_transform(list_zip(v.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': m.c}}) AS best
+    FROM v CROSS JOIN m{r} m GROUP BY rid))"""
+    moved = """
+m{s} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.v, m.v) AS v FROM m{r} m LEFT JOIN (
+    SELECT c, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n USING (c))"""
+    start = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v) WHERE c < {k}),"""
+    steps = [(nearest.format(r=r), moved.format(r=r, s=r + 1)) for r in range(rounds)]
+    body = ",".join(x for pair in steps for x in pair) + "," + nearest.format(r=rounds)
+    return f"""{start}{body}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN m{rounds} m USING (c)
+"""
+
+
+_OP13 = r"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256 FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op2_warc": _OP2, "op5_base_counts": _OP5_BASE, "op6_url_filters": _OP6, "op7_chat_format": _OP7, "op10_minhash_dedup": _OP10}
+    return {"op1_line_dedup": _OP1, "op2_warc": _OP2, "op5_base_counts": _OP5_BASE, "op6_url_filters": _OP6, "op7_chat_format": _OP7, "op10_minhash_dedup": _OP10,
+        "op11_fill_in_middle": _OP11, "op12_centroids": _op12(), "op13_exact_dedup": _OP13}

@@ -32,7 +32,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = queries.queries()[name](spark, DATA)
     found = con.sql(queries.oracle_sql()[name])
