@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from filingloom.plans import cases, grids, registry, tables, texts  # noqa: F401
+from filingloom.plans import derived, grids, registry, tables, texts  # noqa: F401
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata"
 
 
 def plain(v):
@@ -17,16 +17,20 @@ def plain(v):
 
 @pytest.fixture(scope="module")
 def db():
-    con = duckdb.connect()
-    con.execute("set timezone = 'UTC'")
-    for f in glob.glob(f"{DATA}/*.parquet"):
-        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
-    return con
+    def connect(sf):
+        con = duckdb.connect()
+        con.execute("set timezone = 'UTC'")
+        for f in glob.glob(f"{DATA}/{sf}/*.parquet"):
+            con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
+        return con
 
+    return {sf: connect(sf) for sf in ("sf0.001", "sf0.01")}
 
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_against_sql(spark, db, name):
-    df = registry.QUERIES[name](spark, DATA)
+def test_against_sql(spark, db, name, sf):
+    df, db = registry.QUERIES[name](spark, f"{DATA}/{sf}"), db[sf]
     columns = sorted(df.columns)
     got = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=str)
     found = db.sql(registry.SQL[name])

@@ -1,71 +1,28 @@
-"""Queries that apply text functions to every order: texts by the order's number against the stated results.
+"""Text functions on stated texts; ``{k}`` stands for a number, so that no text is a literal of the function's own."""
 
-``{k}`` in a text stands for the order's key, so that all rows differ.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable, Sequence
-
-from pyspark.sql import Column
+import pytest
 from pyspark.sql import functions as F
 
 from filingloom.functions import asks, claims, headers, period, rows, titles
 from filingloom.operators import scores
-from filingloom.plans.registry import QUERIES, SQL, _t
 
+CASES = []
 
-def _sql(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(_sql, v)) + "]"
-    return f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
 
+def cases(columns, table):
+    def add(f):
+        CASES.extend(pytest.param(f, columns, given, wanted, id=f"{f.__name__}-{i}") for i, (given, wanted) in enumerate(table))
+        return f
 
-def _col(v) -> Column:
-    return F.array(*map(_col, v)) if isinstance(v, list) else F.lit(v)
+    return add
 
 
-def cases(columns: Sequence[str], table: Sequence[tuple]):
-    """Registers a query: ``table`` holds (arguments, results); the function gives the results' columns."""
-    at = f"o_orderkey % {len(table)} + 1"
-
-    def expected(i: int, name: str) -> str:
-        values = [row[1][i] for row in table]
-        one = f"[{', '.join(map(_sql, values))}][{at}]"
-        return (f"replace({one}, '{{k}}', o_orderkey::VARCHAR)" if any(isinstance(v, str) for v in values) else one) + f' AS "{name}"'
-
-    def add(f: Callable[..., Sequence[Column]]):
-        def query(spark, d):
-            k = F.col("o_orderkey")
-
-            def argument(i: int) -> Column:
-                values = [row[0][i] for row in table]
-                one = F.element_at(F.array(*map(_col, values)), (k % len(table) + 1).cast("int"))
-                key = k.cast("string")
-                depth = next((2 if v and isinstance(v[0], list) else 1 for v in values if isinstance(v, list)), 0)
-                fill = lambda x: F.replace(x, F.lit("{k}"), key)
-                if depth == 2:
-                    return F.transform(one, lambda r: F.transform(r, fill))
-                if depth == 1:
-                    return F.transform(one, fill) if any(v and isinstance(v[0], str) for v in values) else one
-                return fill(one) if any(isinstance(v, str) for v in values) else one
-
-            # The arguments are columns of their own, so that no expression is folded or repeated.
-            given = _t(spark, d, "orders").select(k, *[argument(i).alias(f"a{i}") for i in range(len(table[0][0]))])
-            out = f(*[F.col(f"a{i}") for i in range(len(table[0][0]))])
-            return given.select(k, *[c.alias(n) for c, n in zip(out, columns, strict=True)])
-
-        QUERIES[f.__name__] = query
-        SQL[f.__name__] = "SELECT o_orderkey, " + ", ".join(expected(i, n) for i, n in enumerate(columns)) + " FROM orders"
-        return query
+def _filled(v):
+    return [_filled(x) for x in v] if isinstance(v, list) else v.replace("{k}", "7") if isinstance(v, str) else v
 
-    return add
+
+def _col(v):
+    return F.array(*map(_col, v)) if isinstance(v, list) else F.lit(v)
 
 
 @cases(["title", "suffix", "code"], [
@@ -285,3 +242,12 @@ def period_relations(y, q, y2, q2, quarter, day):
 ])
 def crossed_headers(labels, codes, spans, dates):
     return F.array_join(headers.with_periods(labels, codes), "|"), F.array_join(headers.with_dates(spans, dates.cast("array<string>")), "|")
+
+
+@pytest.mark.parametrize(("f", "columns", "given", "wanted"), CASES)
+def test_stated(spark, f, columns, given, wanted):
+    # Arguments are columns of a row that is read back, so that nothing is folded when the query is planned.
+    row = spark.range(1).select(*[_col(_filled(v)).alias(f"a{i}") for i, v in enumerate(given)])
+    out = f(*[F.col(f"a{i}") for i in range(len(given))])
+    got = row.select(*[c.alias(n) for c, n in zip(out, columns, strict=True)]).first()
+    assert [tuple(got)] == [tuple(_filled(v) for v in wanted)]
