@@ -14,13 +14,14 @@ def dot(a: Column, b: Column) -> Column:
 BROADCAST_QUERIES = 1000
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None, at_most: int | None = None) -> DataFrame:
     """Top ``k`` by inner product for query rows (``query_id``, ``query``), filtered before the top-k.
 
     Up to BROADCAST_QUERIES queries go to every task, more meet the corpus in
-    blocks; the rank limit is taken by each task before its shuffle.
+    blocks; the rank limit is taken by each task before its shuffle. Who knows
+    that there are ``at_most`` so many spares the count.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+    if (queries.limit(BROADCAST_QUERIES + 1).count() if at_most is None else at_most) > BROADCAST_QUERIES:
         return knn_blocks(corpus, queries, k, id_col, vector, where)
     rows = corpus if where is None else corpus.where(where)
     scored = rows.join(F.broadcast(queries)).select("query_id", F.col(id_col).alias("id"), dot(F.col(vector), F.col("query")).alias("score"))
@@ -48,11 +49,10 @@ def term_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     serves every search.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\s+"), lambda w: w != "")
-    # Tokens of one document are counted where it stands.
-    each = docs.select(F.col(id_col).alias("id"), F.array_sort(words).alias("w"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    runs = F.transform(starts, lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size("w")) - i).alias("tf")))
-    return each.where(F.size("w") > 0).select("id", F.size("w").alias("len"), F.explode(runs).alias("r")).select("r.term", "id", "r.tf", "len")
+
+    each = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    # Each task counts the tokens of its documents before they are dealt by term and document, so no term is one task's.
+    return each.groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf")).select("term", "id", "tf", "len")
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def bm25_index(index: DataFrame, terms: list[str], k: int, n: int, avgdl: float,
 def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
     """Write the postings sorted by term, so that a search reads the row groups of its terms only, and the corpus figures."""
     spark = docs.sparkSession
-    term_index(docs, id_col, text).repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    # By ranges of term and id, as a term that stands in all documents must not be one task's.
+    term_index(docs, id_col, text).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     index = spark.read.parquet(f"{path}/postings")
     # Documents without tokens count too.
     size = docs.agg(F.count("*").alias("n")).crossJoin(index.agg(F.sum("tf").alias("tokens")))

@@ -173,8 +173,8 @@ def _lists(spark, d) -> DataFrame:
     v = _t(spark, d, "embeddings")
     # Four stated queries.
     q = v.where("vec_id IN (3, 7, 11, 19)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = search.knn(v, q, 10).withColumn("strategy", F.lit("vector"))
-    by_label = search.knn(v, q, 10, where=F.col("label") < 5).withColumn("strategy", F.lit("filtered"))
+    near = search.knn(v, q, 10, at_most=4).withColumn("strategy", F.lit("vector"))
+    by_label = search.knn(v, q, 10, where=F.col("label") < 5, at_most=4).withColumn("strategy", F.lit("filtered"))
     return near.unionByName(by_label).withColumn("score", F.round("score", 6))
 
 
