@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filingloom.functions import asks, claims, headers, period, rows, titles
-from filingloom.operators import scores
+from filingloom.operators import header_stack, scores
 from filingloom.plans.registry import QUERIES, SQL, _t
 
 #: Of an order: key, customer, its date twenty years on (year, quarter, month, day, in words), whole price and priority.
@@ -274,3 +274,35 @@ def period_relations(y, q, y2, q2, quarter, day):
 )
 def crossed_headers(labels, codes, spans, dates):
     return F.array_join(headers.with_periods(labels, codes), "|"), F.array_join(headers.with_dates(spans, dates), "|")
+
+
+def _stack(spark, d):
+    orders = _t(spark, d, "orders").withColumn("t", F.add_months("o_orderdate", 240)).selectExpr(*[f"{v} AS {n}" for n, v in _PARTS.items()])
+    return orders.selectExpr("k", "o", """CASE k % 4 WHEN 0 THEN array(array('', 'Three Months Ended', '', 'Six Months Ended', NULL), array('', m || ' ' || d || ',', '', 'June 30,'), array('$ in millions', '' || y, '' || (y - 1), '' || y, '' || (y - 1)))
+    WHEN 1 THEN array(array('', 'Nine Months Ended ' || dt, '', ''), array('$ in millions', 'Trading', 'Fees ' || d, 'Total')) WHEN 2 THEN array(array('At ' || dt, q || 'Q ' || y, '% Change', '' || y))
+    ELSE array(array('At June 30, ' || y || ' and December 31, ' || (y - 1), o)) END AS rows""")
+
+
+def header_stacks(spark, d):
+    done = header_stack.normalise_headers(_stack(spark, d).withColumn("source", F.lit("10k1224.pdf")), "rows", "source")
+    return done.select(F.col("k").alias("o_orderkey"), *[F.array_join(f"{n}_headers", "|").alias(n) for n in ("normalized", "l2", "l3")])
+
+
+QUERIES["header_stacks"] = header_stacks
+SQL["header_stacks"] = _BASE + """SELECT k AS o_orderkey,
+CASE k % 4 WHEN 0 THEN '$ in millions|Q' || q || '-QTD-' || y || '|Q' || q || '-QTD-' || (y - 1) || '|Q2-YTD-' || y || '|Q2-YTD-' || (y - 1) WHEN 1 THEN '$ in millions|Q' || q || '-YTD-' || y || ' Trading|Q' || q || '-YTD-' || y || ' Fees|Q' || q || '-YTD-' || y || ' Total'
+WHEN 2 THEN 'Q' || q || '-' || y || '|' || q || 'Q-' || y || '|Q' || q || '-' || y || ' % Change|Q' || q || '-' || y ELSE 'Q2-' || y || ' & Q4-' || (y - 1) || '|Q2-' || y || ' ' || o END AS normalized,
+CASE k % 4 WHEN 0 THEN '|Three Months Ended|Three Months Ended|Six Months Ended|Six Months Ended' WHEN 1 THEN '|' || CASE q WHEN 2 THEN 'Six' ELSE 'Nine' END || ' Months Ended|' || CASE q WHEN 2 THEN 'Six' ELSE 'Nine' END || ' Months Ended|'
+WHEN 2 THEN '|' || q || 'Q||' ELSE '|' END AS l2,
+CASE k % 4 WHEN 0 THEN '$ in millions|' || y || '|' || (y - 1) || '|' || y || '|' || (y - 1) WHEN 1 THEN '$ in millions|' || y || '|' || y || '|Q' || q || '-YTD-' || y
+WHEN 2 THEN y || '|' || y || '|Q' || q || '-' || y || '|' || y ELSE 'Q2-' || y || ' & Q4-' || (y - 1) || '|' || y END AS l3 FROM b"""
+
+
+def header_structures(spark, d):
+    orders = _t(spark, d, "orders").withColumn("t", F.add_months("o_orderdate", 240)).selectExpr(*[f"{v} AS {n}" for n, v in _PARTS.items()])
+    stacks = orders.selectExpr("k", """array(array('', CASE k % 3 WHEN 0 THEN 'Average Monthly Balance' WHEN 1 THEN 'As of ' || dt END), array(CASE WHEN c % 3 = 0 THEN 'Source(s)' ELSE o END, NULL, CASE q WHEN 1 THEN 'Quarter Ended ' || dt WHEN 2 THEN 'Fiscal Year ' || y ELSE '' || y END)) AS rows""")
+    return stacks.select(F.col("k").alias("o_orderkey"), header_stack.structure_pattern(F.col("rows")).alias("pattern"))
+
+
+QUERIES["header_structures"] = header_structures
+SQL["header_structures"] = _BASE + """SELECT k AS o_orderkey, CASE WHEN c % 3 = 0 OR q > 2 THEN 'L3_ONLY::POINT_IN_TIME' ELSE CASE k % 3 WHEN 0 THEN 'L1_L2_L3' ELSE 'L2_L3' END || CASE q WHEN 1 THEN '::CUMULATIVE' ELSE '::ANNUAL' END END AS pattern FROM b"""
