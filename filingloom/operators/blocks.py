@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import label as labels_
 from filingloom.functions import period, titles
-from filingloom.operators.fuzzy import cut
+from filingloom.operators.shared import cut
 
 
 def _fingerprint(at: Column, value: Column) -> list[Column]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingloom.functions import label as labels_
+from filingloom.operators.shared import cut
 
 #: Least ratio of titles and least share of common labels.
 LEAST = 0.8
@@ -18,17 +17,6 @@ LEAST = 0.8
 FIRST_ROUND = 256
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of ``spark.checkpoint.dir``; a local master without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="filingloom-"))
-    return df.checkpoint()
-
-
 def usable_labels(items: Column) -> Column:
     """The distinct labels by which tables are compared, sorted; null where a table has none at all, empty where none is usable."""
     plain = F.array_sort(F.array_distinct(F.filter(F.transform(items, labels_.grouping), lambda x: ~x.isin("", "nan", "none", "row label"))))
