@@ -42,14 +42,14 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     own = F.when(F.col(conv_col).isNull(), F.sha2(F.to_json(F.struct(F.col(turn_col).alias("t"), role.alias("r"), text.alias("x"))), 256))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), own.alias("own"), F.col(turn_col).alias("turn"), role.alias("role"), escape(text).alias("body"))
-    sorted_turns = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "body")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), own.alias("own"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    sorted_turns = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(ROLE_END))
     joined = F.coalesce(F.lag("role").over(sorted_turns) == F.col("role"), F.lit(False))
     goes_on = F.coalesce(F.lead("role").over(sorted_turns) == F.col("role"), F.lit(False))
     # For each turn: what stands before its text, its text, what closes it; a block opens or closes where the role changes.
     pieces = rows.select(
-        "conv_id", "own", "turn", "role", "body", F.row_number().over(sorted_turns).alias("at"),
+        "conv_id", "own", "turn", "role", "text", escape(F.col("text")).alias("body"), F.row_number().over(sorted_turns).alias("at"),
         F.when(joined, F.lit(JOIN)).otherwise(head).alias("before"), F.when(goes_on, F.lit("")).otherwise(F.lit(CLOSE)).alias("after"),
     )
     upto = F.sum(F.length("before") + F.length("body") + F.length("after")).over(sorted_turns.rowsBetween(Window.unboundedPreceding, Window.currentRow))

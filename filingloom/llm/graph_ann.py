@@ -195,12 +195,13 @@ def _nearest_cells(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Graphs by cell and shard, the centres of each dimension's cells, the shards of each cell, and the cells that a query needs."""
+    """Graphs by cell and shard, the centres of each dimension's cells, the shards of each cell, the cells that a query needs, and how many ids of equal vectors are kept."""
 
     graphs: DataFrame
     centres: dict[int, np.ndarray]
     shards: dict[tuple[int, int], int]
     probes: dict[int, int]
+    keep_ids: int
 
 
 def _needed_cells(placed: DataFrame, dim: int, centres: np.ndarray, trials: np.ndarray, k: int = 10) -> int:
@@ -293,7 +294,7 @@ def build_index(
     built = dealt.groupBy("dim", "cell", "shard").applyInPandas(_build_shard, "dim int, " + INDEX)
     graphs = materialise(built, "graphs")
     discard(nodes, placed)
-    return Index(graphs, centres, shards, probes)
+    return Index(graphs, centres, shards, probes, keep_ids)
 
 
 def _search(k: int, beam: int):
@@ -343,8 +344,11 @@ def search(
 
     Invalid vectors ask nothing; an empty table gives no rows. An id that repeats
     with other vectors is one query and one candidate: its distance to another is
-    the smallest of its vectors'.
+    the smallest of its vectors'. ``k`` may be at most ``beam``, and one less than
+    the ids of equal vectors that the index keeps.
     """
+    if k > min(beam, index.keep_ids - 1):
+        raise ValueError(f"k is {min(beam, index.keep_ids - 1)} at most, by the beam and the ids that the index keeps of equal vectors")
     asked = _valid(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v").distinct()
     most = max([1, *index.probes.values()]) if probes is None else probes
     asked = _with_cells(asked, index.centres, most, "cells").withColumn("dim", F.size("v"))

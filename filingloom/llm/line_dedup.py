@@ -9,6 +9,8 @@ from filingloom.llm.common import discard, fresh, let, materialise, row_key
 
 #: A line of so many characters (some fifty words) is a chunk by itself.
 SOLO_CHARS = 240
+#: A span is its first line times this and its number of lines.
+_SPAN = 1 << 32
 #: A run of lines with so many words is removed where it stands elsewhere before.
 PASSAGE_WORDS = 51
 
@@ -69,8 +71,7 @@ def _spans(lines: Column) -> Column:
     def of_counts(counts: Column) -> Column:
         # The line of each word, and the words up to the end of each line.
         line_of = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i, n)))
-        add = lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n))
-        upto = F.aggregate(counts, F.array().cast("array<int>"), add)
+        upto = _running(counts)
 
         def runs(x: Column) -> Column:
             at, end = x["line_of"], x["upto"]
@@ -85,14 +86,30 @@ def _spans(lines: Column) -> Column:
 
         return let(F.struct(line_of.alias("line_of"), upto.alias("upto")), runs)
 
-    return F.array_distinct(let(F.transform(lines, _words), of_counts))
+    # One number for each, as an array of structs finds its repeats by comparing all with all.
+    return F.array_distinct(F.transform(let(F.transform(lines, _words), of_counts), lambda s: s["first"].cast("long") * _SPAN + s["n"]))
+
+
+def _running(counts: Column) -> Column:
+    """Sums up to each number of an array, by blocks of the root of its length: the work grows with its power of 1.5."""
+    add = lambda numbers: F.aggregate(numbers, F.lit(0), lambda s, n: s + n)
+
+    def of_blocks(b: Column) -> Column:
+        part = lambda i: F.slice(counts, i * b + 1, b)
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / b).cast("int")), lambda i: add(part(i)))
+        before = lambda s: F.transform(s, lambda x, i: add(F.slice(s, F.lit(1), i)))
+        inner = lambda start, i: let(part(i), lambda p: F.transform(p, lambda x, j: start + add(F.slice(p, F.lit(1), j + 1))))
+        return F.flatten(F.transform(let(sums, before), inner))
+
+    return F.when(F.size(counts) == 0, counts).otherwise(let(F.ceil(F.sqrt(F.size(counts))).cast("int"), of_blocks))
 
 
 def _occurrences(parts: DataFrame) -> DataFrame:
     """Place, lines and digests of each run of ``_lines``."""
     # An inner explode would have the planner filter on the spans, and compute them three times.
     found = parts.select("_id", "_h", "_lines", F.explode_outer(_spans(F.col("_lines"))).alias("s")).where("s IS NOT NULL")
-    return found.select("_id", "_h", "s.first", "s.n", *_digests(F.slice("_lines", F.col("s.first") + 1, F.col("s.n"))))
+    found = found.select("_id", "_h", "_lines", F.shiftright("s", 32).cast("int").alias("first"), F.col("s").bitwiseAND(_SPAN - 1).cast("int").alias("n"))
+    return found.select("_id", "_h", "first", "n", *_digests(F.slice("_lines", F.col("first") + 1, F.col("n"))))
 
 
 def _digests(run: Column) -> list[Column]:
@@ -136,7 +153,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     discard(seen, repeated)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
     marked = materialise(rows.join(marks.hint("merge"), ["_id", "_h"], "left"), "marked_rows")
-    runs = marked.where("_marks IS NOT NULL").select("_id", "_h", _lines(F.col("_row")[text_col]).alias("_lines"), F.explode("_marks").alias("m"))
+    # Texts are split before their marks are exploded, not once for each mark.
+    runs = marked.where("_marks IS NOT NULL").select("_id", "_h", "_marks", _lines(F.col("_row")[text_col]).alias("_lines")).select("_id", "_h", "_lines", F.explode("_marks").alias("m"))
     runs = runs.select("_id", "_h", "m", F.slice("_lines", F.col("m.first") + 1, F.col("m.n")).alias("run")).select("_id", "_h", "m", *_digests(F.col("run")), F.array_join("run", "\n").alias("run"))
     unequal = runs.groupBy("d1", "d2").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo != hi").select("d1", "d2")
     unequal = materialise(unequal, "unequal_runs")

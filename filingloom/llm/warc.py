@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise, scratch
+from filingloom.llm.common import discard, materialise, scratch
 
 CHUNK_BYTES = 1 << 20
 RECORD = "urn:record:page:"
@@ -24,20 +24,25 @@ def _base32(raw: bytes) -> str:
     return base64.b32encode(raw).decode()
 
 
-def record_chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int, chunk_bytes: int) -> DataFrame:
-    """Rows (page, chunk number) of each record that is to be written: payload chunks for responses, one empty chunk for revisits."""
+def record_chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int, chunk_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (page, chunk number) of each record that is to be written: payload chunks for responses, one empty chunk for revisits.
+
+    Also the written tables that they are read from.
+    """
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(bytearray())) if dict(pages.dtypes)[payload_col] == "string" else F.coalesce(F.col(payload_col), F.lit(bytearray()))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest")
     )
     # Revisits are found on ids and digests alone; payloads then meet their marks by page, where no key is hot.
-    slim = rows.select("page_id", "digest", "n")
+    slim = materialise(rows.select("page_id", "digest", "n"), "page_digests")
     same = slim.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    # Written before the join, so that the planner may split a payload that a third of all pages have.
+    same = materialise(same, "shared_payloads")
     revisits = slim.join(same.hint("merge"), ["digest", "n"]).where("refers_to != page_id").select("page_id", "digest", "refers_to").distinct()
     marked = rows.join(revisits.hint("merge"), ["page_id", "digest"], "left")
     chunks = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("n") / chunk_bytes), F.lit(1))).cast("int")
     data: Column = F.when(F.col("refers_to").isNotNull(), F.lit(bytearray())).otherwise(F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return marked.select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk_no")).select("page_id", "url", "n", "digest", "refers_to", "chunk_no", data.alias("data"))
+    return marked.select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk_no")).select("page_id", "url", "n", "digest", "refers_to", "chunk_no", data.alias("data")), [slim, same]
 
 
 def _head(page_id: int | None, url: str | None, n: int, digest: str, refers_to: int | None) -> bytes:
@@ -98,9 +103,11 @@ def write_archives(
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    chunks = record_chunks(pages, id_col, url_col, payload_col, min_bytes, chunk_bytes)
+    chunks, inner = record_chunks(pages, id_col, url_col, payload_col, min_bytes, chunk_bytes)
     written = chunks.mapInArrow(lambda b: _write(b, folder), "path string, records bigint")
-    return materialise(written.withColumn("folder", F.lit(folder)), "manifest")
+    manifest = materialise(written.withColumn("folder", F.lit(folder)), "manifest")
+    discard(*inner)
+    return manifest
 
 
 CHUNKS = "page_id bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, chunk_no int, is_last boolean, bytes_so_far bigint, digest_so_far string, data binary"
