@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from filingloom.operators import cells
 from filingloom.operators.shared import new_path
 from filingloom.plans.registry import _t, query
+from filingloom.streaming import ingest
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0),
@@ -18,3 +19,19 @@ def inverted_file_topk(spark, d):
     cells.store(vectors, path, n=16, id_col="vec_id")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return cells.search(spark, path, asked, 10, probes=16, id_col="vec_id", where="label < 5").withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT sha256(text) AS hash, min(printf('%012d', doc_id)) AS file, octet_length(encode(any_value(text))) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def ingested_documents(spark, d):
+    """All documents as files of a stream that ends: one for each content, in the ledger."""
+    ledger, mark, key = new_path(spark, "ledger"), new_path(spark, "mark"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    ingest.configure(spark)
+    try:
+        table = _t(spark, d, "documents")
+        # A pattern, as a stream takes a folder or a pattern and the table may be one file.
+        files = spark.readStream.schema(table.schema).parquet(f"{d}/[d]ocuments.parquet").withColumn("name", F.format_string("%012d", "doc_id")).withColumn("at", F.lit("2024-01-01"))
+        ingest.run(ingest.hashed(files, "text", "name", "at"), ledger, mark)
+    finally:
+        spark.conf.set(key, before)
+    return ingest.ledger_rows(spark, ledger).select("hash", "file", "bytes")
