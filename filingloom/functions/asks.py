@@ -80,3 +80,9 @@ def anomaly(text: Column) -> Column:
         .when(low.contains("level 2"), "Level 2").when(low.contains("level") | low.contains("anomaly"), "Other")
     )
     return F.struct(severity.isNotNull().cast("int").alias("flag"), F.coalesce(severity, F.lit("Not Anomaly")).alias("severity"))
+
+
+def stale_years(answer: Column, contexts: Column) -> Column:
+    """The years (2000 to 2099) that an answer names and none of its contexts, in order."""
+    years = lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit("\\b(20\\d{2})\\b"), F.lit(1))
+    return F.array_sort(F.array_except(years(answer), F.flatten(F.transform(contexts, years))))

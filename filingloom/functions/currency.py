@@ -41,3 +41,12 @@ def scaled(text: Column) -> Column:
 
 def matches(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     return (a == b) | (F.abs(a - b) <= F.abs(b) * tolerance)
+
+
+def cell_format(text: Column) -> Column:
+    """A data cell by its own signs: with ``%`` a percentage of one decimal, else an amount; ranges and cells without a number stay, without the blank before ``%``; empty if missing."""
+    t = F.trim(text)
+    tight = F.replace(t, F.lit(" %"), F.lit("%"))
+    ranged = F.lower(t).contains(" to ") | (F.length(t) - F.length(F.replace(t, F.lit("%"), F.lit(""))) > 1)
+    share = F.when(~ranged & parse(t).isNotNull(), F.format_string("%.1f%%", parse(t))).otherwise(tight)
+    return F.when(text.isNull(), "").when(t == "—", "-").when(t.contains("%"), share).otherwise(F.coalesce(currency(parse(t)), t))

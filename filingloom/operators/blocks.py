@@ -72,6 +72,16 @@ def merge_beside(cells: DataFrame, groups: DataFrame, keys: Sequence[str], block
     return numbered.join(kept, which).select(*keys, F.col("group").alias(block), F.col("_r").alias(row), F.col("_to").alias(column), F.col("_v").alias(value))
 
 
+def distinct_columns(cells: DataFrame, keys: Sequence[str], row: str, column: str, header: str, value: str) -> DataFrame:
+    """The columns of each table that no column before them equals in header and all cells, in any case and without outer blanks."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    numbered = cells.select(*keys, F.col(column).alias("_c"), plain(header).alias("_h"), F.col(row).alias("_r"), plain(value).alias("_v"))
+    which = [*keys, "_h", "_c"]
+    prints = cut(numbered.groupBy(*which).agg(*_fingerprint(F.col("_r"), F.col("_v"))))
+    sure = _confirmed(numbered, prints, [*keys, "_h"], which, "_r", "_v").withColumn("exact", F.coalesce("exact", F.lit("")))
+    return sure.groupBy(*keys, F.col("_h").alias(header), *_PRINT, "exact").agg(F.min("_c").alias(column)).select(*keys, column, header)
+
+
 def stacked_groups(tables: DataFrame, keys: Sequence[str], at: str, header: str, section: str, title: str, metadata: str, least: float = 0.75) -> DataFrame:
     """``group`` of each table, from 1: it goes on while header (or none), section and title equal those of the table just before, and metadata are alike.
 

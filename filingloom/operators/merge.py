@@ -47,3 +47,13 @@ def top_one(df: DataFrame, keys: Sequence[str], *order) -> DataFrame:
     """The first row of each group."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def with_provenance(rows: DataFrame, row: str) -> DataFrame:
+    """Rows of retrieved tables (``row``, a map from column to cell, so that no union enumerates columns) with where they come from.
+
+    ``_table_id`` is the table's own, else made of its document (or ``unknown``), page (or 0) and rank.
+    """
+    made = F.concat_ws("_", F.coalesce("source_doc", F.lit("unknown")), F.concat(F.lit("p"), F.coalesce("page_no", F.lit(0)).cast("string")), F.col("rank").cast("string"))
+    own = F.nullif(F.col("table_id"), F.lit(""))
+    return rows.select(row, F.coalesce(own, made).alias("_table_id"), F.col("source_doc").alias("_source"), F.col("page_no").alias("_page"), F.col("table_title").alias("_table"), F.col("score").alias("_score"), F.col("rank").alias("_rank"))

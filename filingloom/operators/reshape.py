@@ -42,3 +42,13 @@ def inject(df: DataFrame, source: str, section: str, title: str) -> DataFrame:
     new = {"Source": source, "Section": section, "Table Title": title}
     pick = lambda n, v: F.coalesce(F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")), F.lit(v)) if n in df.columns else F.lit(v)
     return df.select(*[pick(n, v).alias(n) for n, v in new.items()], *[F.col(f"`{c}`") for c in df.columns if c not in new])
+
+
+def check_long(wide: DataFrame, long: DataFrame, fixed: Sequence[str] = FIXED, drop: Sequence[str] = UNITS) -> DataFrame:
+    """One row: the period columns of ``wide``, its rows, the rows that ``to_long`` owes, those found, and ``whole``: whether those and the columns are as they should be."""
+    ids = [c for c in wide.columns if c in fixed]
+    periods = [c for c in wide.columns if c not in fixed and c.lower() not in drop]
+    named = set(long.columns) == (set(ids) | {"Dates", "Header", "Data Value"} if periods else set(wide.columns))
+    counts = wide.agg(F.count("*").alias("rows")).crossJoin(long.agg(F.count("*").alias("found")))
+    wanted = F.col("rows") * (len(periods) or 1)
+    return counts.select(F.lit(len(periods)).alias("periods"), "rows", wanted.alias("wanted"), "found", ((wanted == F.col("found")) & F.lit(named)).alias("whole"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +139,33 @@ def matching(rows: DataFrame, filters: dict[str, object]) -> DataFrame:
     return rows
 
 
+def rerank(lists: DataFrame, model: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]], k: int, among: int = 100, batch: int = 64) -> DataFrame:
+    """The best ``k`` of each query by a scorer of (query, text): ``query_id, id, score, rank``.
+
+    ``lists`` has query_id, id, rank, query and text; those up to rank ``among`` are scored and no others, so a
+    query's cost is bounded before its texts are read. ``model`` is called once in each
+    task and returns the scorer, which gets at most ``batch`` pairs at a time, of like
+    lengths. Null texts count as empty; ties go to the smaller id.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = None
+        for pairs in batches:
+            if not len(pairs):
+                continue
+            scorer = scorer or model()
+            pairs = pairs.assign(query=pairs["query"].fillna(""), text=pairs["text"].fillna(""))
+            pairs = pairs.iloc[pairs["text"].str.len().argsort(kind="stable")].reset_index(drop=True)
+            for at in range(0, len(pairs), batch):
+                part = pairs.iloc[at : at + batch]
+                yield part[["query_id", "id"]].assign(score=scorer(part["query"], part["text"]).to_numpy(dtype=float))
+
+    kinds = {f.name: f.dataType.simpleString() for f in lists.schema.fields}
+    scored = lists.where(F.col("rank") <= among).select("query_id", "id", "query", "text").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def rrf(lists: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, strategy, id, rank): sum of weight / (k + rank), and appearances."""
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from filingloom.plans import derived, grids, groups, registry, retrieval, tables, texts  # noqa: F401
+from filingloom.plans import derived, grids, groups, nested, registry, retrieval, tables, texts  # noqa: F401
 
 DATA = "/root/testdata"
 
