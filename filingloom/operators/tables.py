@@ -147,8 +147,15 @@ def unique_names(names: DataFrame, keys: Sequence[str]) -> DataFrame:
     Only names that are equal but for such endings can meet, so each such group is a task of its own.
     """
     rooted = names.withColumn("_root", F.regexp_replace("name", "(_\\d+)+$", ""))
+    group = [*keys, "_root"]
+    # Groups without such an ending are numbered in place; only the others need a look at what is taken.
+    w = Window.partitionBy(*group)
+    ended = F.coalesce(F.max(F.col("_root") != F.col("name")).over(w), F.lit(False))
+    n = F.row_number().over(w.orderBy("at")) - 1
+    marked = rooted.withColumns({"_ended": ended, "unique": F.when(n > 0, F.concat_ws("_", "name", n.cast("string"))).otherwise(F.col("name"))})
     out = StructType(list(rooted.schema.fields)).add("unique", "string")
-    return rooted.groupBy(*keys, "_root").applyInPandas(_fresh_names, out).drop("_root")
+    some = marked.where("_ended").select(*rooted.columns).groupBy(*group).applyInPandas(_fresh_names, out)
+    return some.unionByName(marked.where("NOT _ended").drop("_ended")).drop("_root")
 
 
 def future_labels(rows: DataFrame, keys: Sequence[str], order: str, date: str, actual: str, predicted: str) -> DataFrame:
