@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filingloom.functions import asks, claims, headers, period, rows, titles
-from filingloom.operators import header_stack, scores
+from filingloom.functions import asks, claims, currency, guard, headers, label, period, rows, titles
+from filingloom.operators import align, grid, header_stack, scores
 from filingloom.plans.registry import QUERIES, SQL, _t
 
 #: Of an order: key, customer, its date twenty years on (year, quarter, month, day, in words), whole price and priority.
@@ -306,3 +306,55 @@ def header_structures(spark, d):
 
 QUERIES["header_structures"] = header_structures
 SQL["header_structures"] = _BASE + """SELECT k AS o_orderkey, CASE WHEN c % 3 = 0 OR q > 2 THEN 'L3_ONLY::POINT_IN_TIME' ELSE CASE k % 3 WHEN 0 THEN 'L1_L2_L3' ELSE 'L2_L3' END || CASE q WHEN 1 THEN '::CUMULATIVE' ELSE '::ANNUAL' END END AS pattern FROM b"""
+
+
+@derived(
+    ["CASE k % 5 WHEN 0 THEN 'Q' || q || '-QTD-' || y WHEN 1 THEN 'Q' || q || '-YTD-' || y WHEN 2 THEN 'Q' || q || '-' || y WHEN 3 THEN 'YTD-' || y ELSE 'Loans ' || c END", "y", "CASE WHEN c % 3 > 0 THEN q END"],
+    shown="""CASE k % 5 WHEN 3 THEN 'Year Ended December 31, ' || y WHEN 4 THEN 'Loans ' || c ELSE CASE k % 5 WHEN 0 THEN 'Three Months Ended ' WHEN 1 THEN ['Three', 'Six', 'Nine', 'Twelve'][q] || ' Months Ended ' ELSE 'At ' END
+    || ['March 31', 'June 30', 'September 30', 'December 31'][q] || ', ' || y END""",
+    ends="last_day(make_date(y, CASE WHEN c % 3 > 0 THEN q * 3 ELSE 12 END, 1))",
+)
+def period_texts(code, year, quarter):
+    return period.display(code), period.end_date(year, quarter)
+
+
+@derived(
+    ["CASE k % 4 WHEN 0 THEN 'Balance sheet ' || c || ' (1)(12)' WHEN 1 THEN 'Cash flow of ' || o || ' in millions (2)' WHEN 2 THEN 'Statement of operations (' || y || ')' ELSE 'Total Equity, ' || m || ' in $ billions' END"],
+    plain="CASE k % 4 WHEN 0 THEN 'Balance sheet ' || c WHEN 1 THEN 'Cash flow of ' || o || ' in millions' WHEN 2 THEN 'Statement of operations (' || y || ')' ELSE 'Total Equity, ' || m || ' in $ billions' END",
+    statement="['balance_sheet', 'cash_flow', 'income_statement', 'equity'][k % 4 + 1]", unit="['units', 'millions', 'units', 'billions'][k % 4 + 1]",
+    grouped="CASE k % 4 WHEN 0 THEN 'balance sheet ' || c || ' 112' WHEN 1 THEN 'cash flow of ' || replace(lower(o), '-', '') || ' in millions 2' WHEN 2 THEN 'statement of operations ' || y ELSE 'equity ' || lower(m) || ' in  billions' END",
+)
+def label_texts(text):
+    return label.strip_footnote(text), label.statement_type(text), label.unit(text), label.grouping(text)
+
+
+@derived(
+    ["'Net Revenues, part ' || (c % 10) || ' restated'", "'net revenues, part ' || (k % 10) || ' Restated'", "array('A', ' Loans', o)", "array('a', 'loans ', CASE WHEN k % 2 = 0 THEN lower(o) ELSE o || 'x' END)"],
+    ratio="round(CASE WHEN c % 10 = k % 10 THEN 1 ELSE 1 - 1 / 29::DOUBLE END, 6)", same="k % 2 = 0",
+)
+def similar_texts(a, b, x, y):
+    return F.round(label.similarity(a, b), 6), align.same_sequence(x, y)
+
+
+@derived(
+    ["CASE k % 6 WHEN 0 THEN 'Please IGNORE  previous instruction ' || c WHEN 1 THEN 'forget your ' || o WHEN 2 THEN 'System : ' || dt WHEN 3 THEN 'ignore the ' || m || ' instructions' WHEN 4 THEN 'revenue of ' || c || ' [/INST]' ELSE 'act as of ' || dt END"],
+    injected="k % 6 NOT IN (3, 5)",
+)
+def injected_questions(text):
+    return (guard.injected(text),)
+
+
+@derived(
+    ["'$' || c || '.5 ' || element_at(array('million', 'billion', 'thousand', ''), q)", "CAST(p AS DOUBLE)", "CAST(p + CASE WHEN k % 2 = 0 THEN floor(p / 200) ELSE floor(p / 50) END AS DOUBLE)"],
+    value="(c + 0.5::DOUBLE) * [1e6, 1e9, 1e3, 1][q]::DOUBLE", near="CASE WHEN k % 2 = 0 THEN floor(p / 200) <= (p + floor(p / 200)) * 0.01::DOUBLE ELSE floor(p / 50) <= (p + floor(p / 50)) * 0.01::DOUBLE END",
+)
+def number_texts(text, a, b):
+    return currency.scaled(text), currency.matches(a, b)
+
+
+@derived(
+    ["array('', 'Three Months Ended', '', CASE WHEN k % 2 = 0 THEN 'Total' ELSE NULL END)", "array('$ in millions', m || ' ' || d || ',', m || ' ' || d || ',', 'Total')", "array('', '' || y, '' || (y - 1), ' ' || c)"],
+    names="""'$ in millions|Three Months Ended ' || m || ' ' || d || ', ' || y || '|Three Months Ended ' || m || ' ' || d || ', ' || (y - 1) || '|' || CASE WHEN k % 2 = 0 THEN '' ELSE 'Three Months Ended ' END || 'Total ' || c""",
+)
+def flat_headers(top, middle, low):
+    return (F.array_join(grid.flatten_headers([top, middle, low]), "|"),)

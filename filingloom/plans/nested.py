@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filingloom.functions import asks, currency
-from filingloom.operators import blocks, merge, nested, reshape, search
+from filingloom.operators import blocks, merge, nested, ordered, reshape, search
 from filingloom.plans.registry import _t, query
 
 # An order is a table: its lines are rows (named by part status, so that names repeat), two columns of cells.
@@ -126,3 +126,28 @@ def reranked(spark, d):
         return lambda queries, texts: pd.Series([share(q, t) for q, t in zip(queries, texts, strict=True)])
 
     return search.rerank(lists, model, 5, among=50).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT CASE WHEN trim(p_brand) != '' AND p_size > 25 THEN p_brand ELSE '10q0925.pdf_pg7' END AS "Source", 'Results' AS "Section", 'Selected' AS "Table Title", p_name AS "Category", p_size AS "Q1-2025", p_partkey FROM part""")
+def injected_metadata(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_name").alias("Category"), F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(" ").alias("Source"), F.col("p_size").alias("Q1-2025"), "p_partkey")
+    return reshape.inject(p, "10q0925.pdf_pg7", "Results", "Selected")
+
+
+@query("""SELECT doc_id, n_chars AS score FROM documents WHERE lang IN ('en', 'de') AND contains(lower(source), 'a') AND n_chars >= 500""")
+def filtered_results(spark, d):
+    kept = search.matching(_t(spark, d, "documents"), {"lang": ["en", "de"], "source": "A"})
+    return search.above(kept.select("doc_id", F.col("n_chars").alias("score")), 500)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+h AS (SELECT *, max(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS head FROM o)
+SELECT o_custkey, o_orderkey, coalesce('Head ' || head, '') AS "Category" FROM h WHERE o_orderkey % 4 != 0 AND o_orderkey % 7 != 0""")
+def category_rows(spark, d):
+    """Every fourth order is a category row, by blanks or by its label in all cells; sevenths among the others have no label and go."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Head "), k.cast("string"))
+    cell = F.when(k % 8 == 0, name).when(k % 4 == 0, " ").otherwise("5")
+    label = F.when(k % 4 == 0, name).when(k % 7 == 0, " ").otherwise("Row")
+    g = _t(spark, d, "orders").select("o_custkey", k, label.alias("label"), cell.alias("a"), cell.alias("b"))
+    return ordered.categories(g, ["o_custkey"], "o_orderkey", F.col("label"), ["a", "b"]).select("o_custkey", "o_orderkey", "Category")
