@@ -107,6 +107,45 @@ def bm25_index(index: DataFrame, terms: list[str], k: int, n: int, avgdl: float,
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def _weights(index: DataFrame, n: int, mean_idf: float, epsilon: float) -> DataFrame:
+    """``term`` and ``idf`` of every term of an index."""
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return term_statistics(index).select("term", F.when(idf < 0, F.lit(epsilon * mean_idf)).otherwise(idf).alias("idf"))
+
+
+def bm25_many(index: DataFrame, queries: DataFrame, k: int, n: int, avgdl: float, mean_idf: float, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """Top ``k`` for many weighted queries (``query_id``, ``term``, ``weight``; a term once in each) in one pass over the postings: ``query_id, id, score, rank``.
+
+    Postings of terms that no query has go before anything else; weights and idf meet
+    them by term, scores are summed by each task first, and so is the rank limit.
+    """
+    asked = queries.select("term").distinct()
+    hits = index.join(asked.hint("merge"), "term", "left_semi")
+    # df over those postings alone is that over all, as a term's postings stay together.
+    part = hits.join(_weights(hits, n, mean_idf, epsilon).hint("merge"), "term").select("term", "id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))).alias("s"))
+    scored = part.join(queries.select("query_id", "term", "weight").hint("merge"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("s") * F.col("weight")), 6).alias("score")).where("score > 0")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def expand(index: DataFrame, queries: DataFrame, ranked: DataFrame, n: int, mean_idf: float, terms: int = 10, share: float = 0.5, epsilon: float = 0.25) -> DataFrame:
+    """Weighted queries with the best ``terms`` of the documents that a first search ranked (relevance feedback): ``query_id, term, weight``.
+
+    A term of those documents weighs the mean over them of tf / len, times its idf, so that the
+    best one weighs ``share``; terms of the query keep their weight and gain that.
+    """
+    lists = ranked.select("query_id", "id")
+    own = index.join(lists.hint("merge"), "id")
+    sizes = lists.groupBy("query_id").agg(F.count("*").alias("docs"))
+    seen = own.groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len")).alias("t")).join(sizes, "query_id")
+    known = _weights(index.join(own.select("term").distinct().hint("merge"), "term", "left_semi"), n, mean_idf, epsilon)
+    raw = seen.join(known.hint("merge"), "term").select("query_id", "term", F.round(F.col("t") / F.col("docs") * F.col("idf"), 9).alias("raw")).where("raw > 0")
+    w = Window.partitionBy("query_id")
+    best = raw.withColumn("n", F.row_number().over(w.orderBy(F.desc("raw"), "term"))).where(F.col("n") <= terms)
+    fresh = best.select("query_id", "term", (F.col("raw") / F.max("raw").over(w) * share).alias("weight"))
+    return queries.select("query_id", "term", F.col("weight").cast("double").alias("weight")).unionByName(fresh).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+
+
 def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
     """Write the postings sorted by term, so that a search reads the row groups of its terms only, and the corpus figures."""
     spark = docs.sparkSession

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingloom.operators import cells
-from filingloom.operators.shared import new_path
+from filingloom.operators import cells, search
+from filingloom.operators.shared import cut, new_path
 from filingloom.plans.registry import _t, query
 from filingloom.streaming import ingest
 
@@ -35,3 +35,41 @@ def ingested_documents(spark, d):
     finally:
         spark.conf.set(key, before)
     return ingest.ledger_rows(spark, ledger).select("hash", "file", "bytes")
+
+
+#: The first three distinct tokens of every fiftieth document are a query; figures are those of the whole table.
+_POSTINGS = """WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS w FROM documents),
+z AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+p AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM (SELECT id, unnest(w) AS term, len(w) AS len FROM t) GROUP BY term, id),
+d AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, z GROUP BY term, n),
+i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM d) ELSE idf END AS idf FROM d),
+q AS (SELECT DISTINCT id AS query_id, unnest(w[1:3]) AS term FROM t WHERE id % 50 = 0),
+s AS (SELECT term, id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) AS s FROM p JOIN i USING (term), z),
+f AS (SELECT query_id, id, round(sum(s), 6) AS score FROM s JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM f WHERE score > 0 QUALIFY rank <= 5)"""
+
+
+def _indexed(spark, d):
+    docs = _t(spark, d, "documents")
+    index = cut(search.term_index(docs))
+    n, tokens = docs.count(), index.agg(F.sum("tf")).first()[0]
+    mean = search.term_statistics(index).agg(F.avg(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0]
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+"), lambda w: w != "")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(words, 1, 3))).alias("term"), F.lit(1.0).alias("weight"))
+    return index, asked, n, tokens / n, mean
+
+
+@query(_POSTINGS + " SELECT query_id, id, score, rank FROM r")
+def bm25_every_query(spark, d):
+    index, asked, n, avgdl, mean = _indexed(spark, d)
+    return search.bm25_many(index, asked, 5, n, avgdl, mean)
+
+
+@query(_POSTINGS + """, o AS (SELECT query_id, count(*) AS docs FROM r GROUP BY 1),
+e AS (SELECT query_id, term, round(sum(tf / len::DOUBLE) / any_value(docs) * any_value(idf), 9) AS raw FROM r JOIN p USING (id) JOIN o USING (query_id) JOIN i USING (term) GROUP BY query_id, term),
+g AS (SELECT *, max(raw) OVER (PARTITION BY query_id) AS top FROM (SELECT * FROM e WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, term) <= 10))
+SELECT query_id, term, round(sum(weight), 6) AS weight FROM (SELECT query_id, term, 1.0::DOUBLE AS weight FROM q UNION ALL SELECT query_id, term, raw / top * 0.5 FROM g) GROUP BY query_id, term""")
+def expanded_queries(spark, d):
+    index, asked, n, avgdl, mean = _indexed(spark, d)
+    first = cut(search.bm25_many(index, asked, 5, n, avgdl, mean))
+    return search.expand(index, asked, first, n, mean).withColumn("weight", F.round("weight", 6))
