@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filingloom.operators import products
+
 #: Cells of an index if nothing else is said; rows from which centres are trained, at most.
 CELLS = 100
 TRAIN_ROWS = 100_000
@@ -81,7 +83,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     cells = [r.cell for r in asked.select("cell").distinct().collect()]
     rows = spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(cells))
     rows = rows if where is None else rows.where(where)
-    product = F.aggregate(F.zip_with(vector, "query", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = rows.select("cell", F.col(id_col).cast("long").alias("id"), vector).join(asked.hint("merge"), "cell").select("query_id", "id", product.alias("score"))
+    left = products.packed(rows.select("cell", F.col(id_col).cast("long").alias("ids"), F.col(vector).alias("rows")), ["ids", "rows"], products.ROWS, "cell")
+    # Queries of a cell in blocks that are dealt anew, as each task has a few of every cell's.
+    dealt = asked.select("cell", F.col("query_id").alias("query_ids"), F.col("query").alias("queries")).repartition("cell").sortWithinPartitions("cell")
+    right = products.packed(dealt, ["query_ids", "queries"], products.QUERIES, "cell")
+    scored = products.candidates(left.join(right.hint("merge"), "cell"), k, "bigint", "bigint")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     return scored.withColumn("rank", best).where(F.col("rank") <= k)
