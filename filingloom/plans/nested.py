@@ -13,8 +13,13 @@ from filingloom.plans.registry import _t, query
 _ROWS = "r AS (SELECT l_orderkey AS t, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS INT) AS i, 'Item ' || l_returnflag AS text, l_quantity::BIGINT AS q, l_linestatus AS s FROM lineitem)"
 
 
+def _line_number():
+    """The number of an order's line, by all that is read of it: rows, cells and notes number lines each for themselves and must agree."""
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+
+
 def _nested(spark, d):
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    i = _line_number()
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("t"), i.alias("i"), F.concat(F.lit("Item "), F.col("l_returnflag")).alias("text"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linestatus").alias("s"))
     tables = _t(spark, d, "orders").select(F.col("o_orderkey").alias("t"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("kind"))
     rows = lines.select("t", F.col("i").alias("row_index"), "text", F.lit(None).cast("string").alias("canonical_label"), F.when(F.col("i") > 1, "All").alias("parent_row"), F.when(F.col("i") > 1, 1).otherwise(0).alias("indent_level"))
@@ -87,7 +92,7 @@ r AS (SELECT t, row_number() OVER (PARTITION BY t, c ORDER BY n, l_partkey, l_qu
 s AS (SELECT t, c, string_agg(i || ':' || v, '|' ORDER BY i) AS s FROM r GROUP BY ALL)
 SELECT t, min(c)::INT AS c FROM s GROUP BY t, CASE WHEN c < 4 THEN 'Flag' ELSE 'Amount' END, s""")
 def distinct_columns(spark, d):
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    i = _line_number()
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("t"), i.alias("i"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("q"))
     cell = lambda c, h, v: F.struct(F.lit(c).alias("c"), F.lit(h).alias("h"), F.col(v).alias("v"))
     cells = lines.select("t", "i", F.inline(F.array(cell(1, "Flag", "l_returnflag"), cell(2, " flag ", "l_returnflag"), cell(3, "FLAG", "l_linestatus"), cell(4, "Amount", "q"))))
