@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Rows and queries of a block; bounds memory, not results.
 ROWS, QUERIES = 4096, 1024
+#: Documents and queries of terms of a block.
+DOCUMENTS, TERM_QUERIES = 1024, 512
 #: Scores so near to the last of the best are kept, as ranks are by rounded scores.
 MARGIN = 1e-8
 
@@ -72,14 +74,17 @@ def _best(ids: pa.Array, rows: pa.ListArray, queries: pa.ListArray, k: int) -> t
                 h = here[lo : lo + (1 << 16)]
                 product = q[n][1][qi[at[h]]] * x[n][1][xi[row[h]]]
                 score[h] = np.cumsum(product, axis=1)[:, -1] if n else 0.0
-        # Of rows that tie for a query only the k smallest ids can be among its best.
-        tie = np.where(null, -np.inf, np.round(score, 9))
-    by = np.lexsort((rank[row], tie, at))
+        keep = _first_of_ties(at, rank[row], np.where(null, -np.inf, np.round(score, 9)), k)
+    return at[keep], row[keep], score[keep], null[keep]
+
+
+def _first_of_ties(at: np.ndarray, rank: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places without the rows that tie for a query with ``k`` others of smaller rank: those can't be among its best."""
+    by = np.lexsort((rank, tie, at))
     fresh = np.ones(len(by), bool)
     fresh[1:] = (at[by][1:] != at[by][:-1]) | ~((tie[by][1:] == tie[by][:-1]) | (np.isnan(tie[by][1:]) & np.isnan(tie[by][:-1])))
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
-    keep = by[np.arange(len(by)) - start < k]
-    return at[keep], row[keep], score[keep], null[keep]
+    return by[np.arange(len(by)) - start < k]
 
 
 def candidates(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataFrame:
@@ -96,3 +101,43 @@ def candidates(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataF
                 yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(at)), ids.take(pa.array(row)), pa.array(score, mask=null)], names=["query_id", "id", "score"])
 
     return pairs.select("ids", "rows", "query_ids", "queries").mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
+
+
+def weighed(pairs: DataFrame, k: int, digits: int, id_kind: str, query_kind: str) -> DataFrame:
+    """``query_id``, ``id``, ``score`` of what a pair of blocks adds to the best ``k`` of its queries, by sums of ``s`` times ``weight`` over the terms that both have, above 0, rounded to ``digits``.
+
+    Blocks hold ``ids``, ``terms`` and ``parts`` (arrays) of documents, ``query_ids``, ``query_terms`` and ``weights`` of queries.
+    """
+    names = ["ids", "terms", "parts", "query_ids", "query_terms", "weights"]
+
+    def one(ids, terms, parts, query_ids, query_terms, weights):
+        known = query_terms.flatten().unique()
+        table = np.zeros((len(known) + 1, len(ids)))
+        code = pa.compute.index_in(terms.flatten(), value_set=known)
+        here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        table[code.take(pa.array(here)).to_numpy(), pa.compute.list_parent_indices(terms).to_numpy()[here]] = parts.flatten().to_numpy()[here]
+        # The j-th term of each query; the last row of the table is that of no term.
+        sizes = pa.compute.list_value_length(query_terms).to_numpy()
+        starts, own = np.cumsum(sizes) - sizes, np.append(pa.compute.index_in(query_terms.flatten(), value_set=known).to_numpy(), len(known))
+        weight = np.append(weights.flatten().to_numpy(), 0.0)
+        score = np.zeros((len(query_ids), len(ids)))
+        for j in range(int(sizes.max(initial=0))):
+            place = np.where(sizes > j, starts + j, len(own) - 1)
+            score += weight[place][:, None] * table[own[place]]
+        some = 0.4 * 10.0**-digits
+        least = np.full(len(query_ids), some)
+        if k < len(ids):
+            least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0 ** (1 - digits))
+        at, row = np.nonzero(score >= least[:, None])
+        rank = np.empty(len(ids), np.int64)
+        rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        found = score[at, row]
+        keep = _first_of_ties(at, rank[row], np.round(found, digits), k)
+        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(at[keep])), ids.take(pa.array(row[keep])), pa.array(found[keep])], names=["query_id", "id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield one(*(batch.column(batch.schema.get_field_index(n))[i].values for n in names))
+
+    return pairs.select(*names).mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
