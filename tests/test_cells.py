@@ -54,3 +54,9 @@ def test_odd_vectors(spark, tmp_path):
     assert [(r.query_id, r.id) for r in cells.search(spark, str(tmp_path / "a"), asked, 5, 9).orderBy("rank").collect()] == [(0, 1), (0, 5)]
     cells.store(df.where("false"), str(tmp_path / "b"))
     assert cells.search(spark, str(tmp_path / "b"), asked, 5, 1).count() == 0
+
+
+def test_no_expression_for_each_pair(spark, stored):
+    path, _, asked = stored
+    plan = cells.search(spark, path, asked, 3, 20, id_col="vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "SortMergeJoin" in plan
