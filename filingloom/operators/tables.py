@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from filingloom.functions import currency, period, titles
@@ -51,18 +53,29 @@ def near_empty(grid: DataFrame, keys: Sequence[str], cells: str, least: int = 3)
     return grid.groupBy(*keys).agg(F.count_if(filled & ~heads).alias("rows")).where(F.col("rows") < least)
 
 
-def _greedy(index: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-    """Links of one sheet: each index row, in order, takes the first free table of its title, else the first free one."""
-    free = [(t.at, (t.title or "").strip().lower()) for t in tables.sort_values("at").itertuples()]
-    rows = list(index.sort_values("at").itertuples())
+def _greedy(index: list[tuple], tables: list[tuple]) -> list[tuple]:
+    """Links (at, table's at) of one sheet: each index row, in order, takes the first free table of its title, else the first free one."""
+    plain = lambda t: (t or "").strip().lower()
+    free = [(at, plain(t)) for at, t in tables]
     links = []
-    for row in rows:
-        name = (row.title or "").strip().lower()
-        alike = [i for i, (_, t) in enumerate(free) if name and (name == t or (len(name) > 5 and name in t) or (len(t) > 5 and t in name))]
-        links.append((row.at, free.pop(alike[0] if alike else 0)[0] if free else None))
+    for at, title in index:
+        name = plain(title)
+        alike = next((i for i, (_, t) in enumerate(free) if name == t or (len(name) > 5 and name in t) or (len(t) > 5 and t in name)), 0) if name else 0
+        links.append((at, free.pop(alike)[0] if free else None))
     # What is left hangs on the last row, so no table is lost.
-    links += [(rows[-1].at, t) for t, _ in free] if rows else []
-    return pd.DataFrame({"sheet": [index.sheet.iloc[0]] * len(links) if rows else [], "at": [a for a, _ in links], "table_at": pd.array([t for _, t in links], dtype="Int64")})
+    return links + ([(index[-1][0], t) for t, _ in free] if index else [])
+
+
+def _greedy_sheets(sheet: pa.DataType):
+    """``_greedy`` for batches of sheets: a row has a sheet with its sorted index rows and tables."""
+    plain = lambda rows: [(r["at"], r["title"]) for r in rows or ()]
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            links = [(name, *x) for name, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in _greedy(plain(a), plain(b))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], t) for k, t in enumerate((sheet, pa.int64(), pa.int64()))], names=["sheet", "at", "table_at"])
+
+    return batches
 
 
 def enhanced_index(index: DataFrame, tables: DataFrame) -> DataFrame:
@@ -79,11 +92,12 @@ def enhanced_index(index: DataFrame, tables: DataFrame) -> DataFrame:
     number = lambda df: df.where("sheet IS NOT NULL").select("sheet", F.col("at").cast("long").alias("at"), "title", F.row_number().over(w.orderBy("at")).alias("_n"), F.count("*").over(w).alias("_of"))
     left, right = number(index), number(tables)
     even = left.join(right.select("sheet", "_n", "_of", F.col("at").alias("table_at")), ["sheet", "_n", "_of"]).select("sheet", "at", "table_at")
-    counts = right.groupBy("sheet").agg(F.count("*").alias("_tables"))
-    uneven = left.join(counts, "sheet", "left").where(F.coalesce("_tables", F.lit(0)) != F.col("_of")).select("sheet", "at", "title")
+    # Sheets are rows of their lists, as a Python call for each sheet costs more than its links.
+    lists = lambda df, n: df.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct(F.isnull("at").alias("none"), "at", "title"))).alias(n))
+    both = lists(left, "rows").join(lists(right, "tables"), "sheet", "left")
+    uneven = both.where(F.size("rows") != F.coalesce(F.size("tables"), F.lit(0)))
     schema = StructType([left.schema["sheet"], left.schema["at"]]).add("table_at", "long")
-    greedy = uneven.groupBy("sheet").cogroup(tables.join(uneven.select("sheet").distinct(), "sheet", "left_semi").select("sheet", F.col("at").cast("long").alias("at"), "title").groupBy("sheet")).applyInPandas(_greedy, schema)
-    return even.unionByName(greedy)
+    return even.unionByName(uneven.mapInArrow(_greedy_sheets(to_arrow_type(left.schema["sheet"].dataType)), schema))
 
 
 def compare_columns(df: DataFrame, label: str, first: str, second: str) -> DataFrame:
