@@ -20,32 +20,45 @@ def hashed(files: DataFrame, content: str, file: str, seen: str) -> DataFrame:
     return files.where(raw.isNotNull()).select(F.sha2(raw, 256).alias("hash"), F.col(file).cast("string").alias("file"), F.octet_length(raw).cast("long").alias("bytes"), F.col(seen).cast("timestamp").alias("seen"))
 
 
+#: Contents share keyed state by so many leading hexadecimal digits of their hash: a call for each content costs far more than its work.
+DIGITS = 3
+
+
 class _Seen(StatefulProcessor):
-    """State of one content: when it may be forgotten. The first file that brings it goes on, with several in one batch the smallest name."""
+    """State of the contents of one bucket: each with when it may be forgotten. The first file that brings a content goes on, with several in one batch the smallest name."""
 
     def __init__(self, age: timedelta | None):
         self.age = age
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("until", "until bigint")
+        self.state = handle.getListState("contents", "hash string, until bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = None
         for batch in rows:
-            row = batch.sort_values(["file", "seen"], kind="stable").iloc[[0]]
-            best = row if best is None or row["file"].iloc[0] < best["file"].iloc[0] else best
-        if best is None or self.state.exists():
+            both = batch if best is None else pd.concat([best, batch])
+            best = both.sort_values(["hash", "file", "seen"], kind="stable").drop_duplicates("hash")
+        if best is None:
+            return
+        known = {h for h, _ in self.state.get()}
+        new = best[~best["hash"].isin(known)]
+        if new.empty:
             return
-        until = 0
+        until = [0] * len(new)
         if self.age is not None:
-            until = int((best["seen"].iloc[0] + self.age).timestamp() * 1000)
-            self.handle.registerTimer(until)
-        self.state.update((until,))
-        yield best[["hash", "file", "bytes", "seen"]]
+            until = [int((seen + self.age).timestamp() * 1000) for seen in new["seen"]]
+            for t in sorted(set(until)):
+                self.handle.registerTimer(t)
+        self.state.appendList(list(zip(new["hash"], until, strict=True)))
+        yield new[["hash", "file", "bytes", "seen"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        left = [(h, t) for h, t in self.state.get() if t > expiredTimerInfo.getExpiryTimeInMs()]
+        if left:
+            self.state.put(left)
+        else:
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -60,7 +73,7 @@ def fresh(files: DataFrame, age: timedelta | None = None, late: str = "1 hour")
     State needs the RocksDB provider, see ``configure``.
     """
     marked = files.withWatermark("seen", late) if age is not None else files
-    return marked.groupBy("hash").transformWithStateInPandas(_Seen(age), outputStructType=LEDGER, outputMode="Append", timeMode="none" if age is None else "EventTime")
+    return marked.withColumn("bucket", F.substring("hash", 1, DIGITS)).groupBy("bucket").transformWithStateInPandas(_Seen(age), outputStructType=LEDGER, outputMode="Append", timeMode="none" if age is None else "EventTime")
 
 
 def configure(spark: SparkSession) -> None:

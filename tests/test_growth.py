@@ -38,3 +38,25 @@ def test_sheets_share_a_python_call(spark):
     done = tables.enhanced_index(index, found)
     assert "CoGroup" not in plan(done)
     assert sorted(((r.sheet, r.at, r.table_at) for r in done.collect()), key=str) == [(1, 5, 1), (1, 6, None), (2, 1, 6), (2, 1, 7), (3, 1, None)]
+
+
+def test_a_bucket_takes_all_its_contents_in_one_call():
+    class Store(list):
+        get = lambda self: iter(self)
+        appendList = list.extend
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):
+            return Store()
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    seen = ingest._Seen(dt.timedelta(hours=1))
+    seen.init(Handle())
+    rows = pd.DataFrame({"hash": ["a", "b", "a"], "file": ["y", "z", "x"], "bytes": [1, 2, 1], "seen": [dt.datetime(2024, 1, 1)] * 3})
+    first = pd.concat(seen.handleInputRows(("a",), iter([rows.iloc[:2], rows.iloc[2:]]), None))
+    assert list(zip(first["hash"], first["file"], strict=True)) == [("a", "x"), ("b", "z")] and len(Handle.timers) == 1
+    assert not list(seen.handleInputRows(("a",), iter([rows]), None))
