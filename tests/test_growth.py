@@ -60,3 +60,7 @@ def test_a_bucket_takes_all_its_contents_in_one_call():
     first = pd.concat(seen.handleInputRows(("a",), iter([rows.iloc[:2], rows.iloc[2:]]), None))
     assert list(zip(first["hash"], first["file"], strict=True)) == [("a", "x"), ("b", "z")] and len(Handle.timers) == 1
     assert not list(seen.handleInputRows(("a",), iter([rows]), None))
+
+
+def test_the_index_is_read_and_no_text_again(spark):
+    assert not any("documents" in f for f in registry.bm25_from_index(spark, SF).inputFiles())
