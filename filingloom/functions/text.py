@@ -64,7 +64,8 @@ def footnotes(text: Column) -> Column:
 def dedupe_words(text: Column) -> Column:
     """Without words that repeat the one before, whatever their case."""
     words = F.filter(F.split(F.trim(text), "\\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(words, i - 1))))
+    # The words are a lambda's argument, else they would be split anew for each word.
+    kept = F.transform(F.array(words), lambda all_: F.filter(all_, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(all_, i - 1)))))[0]
     return F.array_join(kept, " ")
 
 

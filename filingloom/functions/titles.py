@@ -45,9 +45,9 @@ SMALL_WORDS = ["and", "or", "the", "of", "to", "in", "for", "on", "at", "by", "w
 
 def title_letters(text: Column) -> Column:
     """Every letter behind no other letter in upper case, all others in lower case."""
-    letters = F.split(F.lower(text), "")
-    first = lambda i: (i == 0) | ~F.coalesce(F.get(letters, i - 1), F.lit("")).rlike("\\p{L}")
-    return F.array_join(F.transform(letters, lambda c, i: F.when(first(i), F.upper(c)).otherwise(c)), "")
+    # Pieces end behind each character that is no letter, so only their first one is upper case.
+    pieces = F.split(F.lower(text), "(?<=\\P{L})")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def _once(value: Column, f) -> Column:

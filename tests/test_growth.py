@@ -64,3 +64,12 @@ def test_a_bucket_takes_all_its_contents_in_one_call():
 
 def test_the_index_is_read_and_no_text_again(spark):
     assert not any("documents" in f for f in registry.bm25_from_index(spark, SF).inputFiles())
+
+
+def test_long_headers(spark):
+    # Words and letters were split anew for each word and letter.
+    df = spark.createDataFrame([(("Fees fees of " * 8000).strip(), "1a " + "O'Neil x" * 4000 + "ß éa")], "w string, l string")
+    began = time.time()
+    row = df.select(text.dedupe_words(F.col("w")).alias("w"), titles.title_letters(F.col("l")).alias("l"), titles.title_letters(F.lit("aB c'd éf 1x\tyZ ǆ")).alias("s")).first()
+    assert time.time() - began < 30
+    assert row.w == ("Fees of " * 8000).strip() and row.l == "1A " + "O'Neil X" + "o'Neil X" * 3999 + "ß Éa" and row.s == "Ab C'D Éf 1X\tYz Ǆ"
