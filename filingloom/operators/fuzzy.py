@@ -33,8 +33,13 @@ def merge_scores(title: Column, other_title: Column, rows: Column, other_rows: C
     alike = labels_.similarity(title, other_title)
     mine, theirs = usable_labels(rows), usable_labels(other_rows)
     overlap = F.when(alike >= least, F.coalesce(labels_.jaccard(mine, theirs), F.lit(0.0))).otherwise(0.0)
-    same = (overlap >= least) & F.coalesce(pattern == other_pattern, F.lit(False))
-    return F.struct(same.alias("merge"), alike.alias("title_similarity"), overlap.alias("row_overlap"), same.alias("pattern_match"))
+
+    def scores(s: Column) -> Column:
+        same = (s["overlap"] >= least) & F.coalesce(pattern == other_pattern, F.lit(False))
+        return F.struct(same.alias("merge"), s["alike"].alias("title_similarity"), s["overlap"].alias("row_overlap"), same.alias("pattern_match"))
+
+    # As a lambda's argument, so that the labels are not compared anew for each score.
+    return F.transform(F.array(F.struct(alike.alias("alike"), overlap.alias("overlap"))), scores)[0]
 
 
 def _grams(titles: DataFrame) -> DataFrame:

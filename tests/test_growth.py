@@ -73,3 +73,10 @@ def test_long_headers(spark):
     row = df.select(text.dedupe_words(F.col("w")).alias("w"), titles.title_letters(F.col("l")).alias("l"), titles.title_letters(F.lit("aB c'd éf 1x\tyZ ǆ")).alias("s")).first()
     assert time.time() - began < 30
     assert row.w == ("Fees of " * 8000).strip() and row.l == "1A " + "O'Neil X" + "o'Neil X" * 3999 + "ß Éa" and row.s == "Ab C'D Éf 1X\tYz Ǆ"
+
+
+def test_labels_are_made_once(spark):
+    a, b = F.split("x", ","), F.split("y", ",")
+    df = spark.createDataFrame([("total net loans,Tax", "Loans,tax,nan")], "x string, y string")
+    got = df.select(fuzzy.merge_scores(F.lit("A"), F.lit("A"), a, b, F.lit("p"), F.lit("p")).alias("s"))
+    assert plan(got).count("(?U)") == 2 and got.first().s.row_overlap == 1.0
