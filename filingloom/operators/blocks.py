@@ -109,12 +109,17 @@ def on_side(wide: DataFrame, keys: Sequence[str], order: str, label: str, sectio
     section the first value that is not null counts; null values have no cell.
     """
     named = wide.select(*keys, F.col(order).alias("_at"), *[titles.title_letters(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((section, "section"), (label, "label"))], *[F.col(f"`{p}`").alias(p) for p in periods])
-    columns = named.groupBy(*keys, "section", "label").agg(F.min("_at").alias("_first"))
-    columns = columns.withColumn("column", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "section", "label"))).select(*keys, "column", "section", "label")
-    long = named.unpivot([*keys, "_at", "section", "label"], list(periods), "_p", "_v").where("_v IS NOT NULL")
-    one = long.groupBy(*keys, "section", "label", "_p").agg(F.min(F.struct("_at", "_v")).alias("_f"))
-    dates, header = period.split_header(F.col("_p"))
-    cells = one.join(columns, [*keys, "section", "label"]).select(*keys, dates.alias("Dates"), header.alias("Header"), F.struct("column", F.col("_f._v").alias("value")).alias("_e"))
+    # By windows within the table, so that its rows are dealt once and need not meet their columns again.
+    first = F.min("_at").over(Window.partitionBy(*keys, "section", "label"))
+    named = named.withColumn("_first", first).withColumn("column", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first", "section", "label")))
+    columns = named.groupBy(*keys, "column").agg(F.first("section").alias("section"), F.first("label").alias("label"))
+    # As an array, since an unpivot forgets that rows are dealt by table.
+    kind = named.select(F.coalesce(*[F.col(f"`{p}`") for p in periods])).schema[0].dataType
+    parts = {p: period.split_header(F.lit(p)) for p in periods}
+    each = F.inline(F.array(*[F.struct(F.lit(p).alias("_p"), dates.alias("Dates"), header.alias("Header"), F.col(f"`{p}`").cast(kind).alias("_v")) for p, (dates, header) in parts.items()]))
+    long = named.select(*keys, "_at", "column", each).where("_v IS NOT NULL")
+    one = long.groupBy(*keys, "column", "_p", "Dates", "Header").agg(F.min(F.struct("_at", "_v")).alias("_f"))
+    cells = one.select(*keys, "Dates", "Header", F.struct("column", F.col("_f._v").alias("value")).alias("_e"))
     # A map holds one period of one table.
     rows = cells.groupBy(*keys, "Dates", "Header").agg(F.map_from_entries(F.array_sort(F.collect_list("_e"))).alias("cells"))
     return rows, columns
@@ -122,8 +127,12 @@ def on_side(wide: DataFrame, keys: Sequence[str], order: str, label: str, sectio
 
 def cells_of(rows: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The cells of ``on_side`` by name: keys, ``section``, ``label``, ``Dates``, ``Header``, ``value``."""
-    each = rows.select(*keys, "Dates", "Header", F.explode("cells").alias("column", "value"))
-    return each.join(columns, [*keys, "column"]).select(*keys, "section", "label", "Dates", "Header", "value")
+    # Names stand in an array by their number, so tables meet their columns as one row.
+    names = columns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("column", "section", "label"))).alias("_names"))
+    name = lambda e: F.get("_names", e["key"] - 1)
+    each = F.transform(F.map_entries("cells"), lambda e: F.struct(name(e)["section"].alias("section"), name(e)["label"].alias("label"), e["value"].alias("value")))
+    found = rows.join(names, list(keys)).select(*keys, "Dates", "Header", F.inline(each))
+    return found.select(*keys, "section", "label", "Dates", "Header", "value")
 
 
 #: Names of a block's metadata rows, in their order.

@@ -110,9 +110,11 @@ SELECT t, upper(s[1]) || substr(s, 2, 1) || 'S' || substr(s, 4) AS section, 'Par
 def tables_on_side_whole(spark, d):
     from pyspark.sql import Window
 
-    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
-    wide = _t(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("t"), r.alias("r"), F.concat("l_returnflag", F.lit(" section")).alias("s"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("l"),
+    # Named before the window, as Spark else deals the lines again by the new name.
+    lines = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "t")
+    r = F.row_number().over(Window.partitionBy("t").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    wide = lines.select(
+        "t", r.alias("r"), F.concat("l_returnflag", F.lit(" section")).alias("s"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("l"),
         F.col("l_quantity").alias("Q1-2024 IS"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).alias("Q2-QTD-2024"),
     )
     rows, columns = blocks.on_side(wide, ["t"], "r", "l", "s", ["Q1-2024 IS", "Q2-QTD-2024"])

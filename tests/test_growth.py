@@ -80,3 +80,7 @@ def test_labels_are_made_once(spark):
     df = spark.createDataFrame([("total net loans,Tax", "Loans,tax,nan")], "x string, y string")
     got = df.select(fuzzy.merge_scores(F.lit("A"), F.lit("A"), a, b, F.lit("p"), F.lit("p")).alias("s"))
     assert plan(got).count("(?U)") == 2 and got.first().s.row_overlap == 1.0
+
+
+def test_wide_lines_are_dealt_once(spark):
+    assert exchanges(spark, groups.tables_on_side_whole) <= 2
