@@ -15,12 +15,13 @@ _ROWS = "r AS (SELECT l_orderkey AS t, CAST(row_number() OVER (PARTITION BY l_or
 
 def _line_number():
     """The number of an order's line, by all that is read of it: rows, cells and notes number lines each for themselves and must agree."""
-    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    return F.row_number().over(Window.partitionBy("t").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
 
 
 def _nested(spark, d):
     i = _line_number()
-    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("t"), i.alias("i"), F.concat(F.lit("Item "), F.col("l_returnflag")).alias("text"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linestatus").alias("s"))
+    # Named before the window, as Spark else deals the lines again by the new name.
+    lines = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "t").select("t", i.alias("i"), F.concat(F.lit("Item "), F.col("l_returnflag")).alias("text"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linestatus").alias("s"))
     tables = _t(spark, d, "orders").select(F.col("o_orderkey").alias("t"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("kind"))
     rows = lines.select("t", F.col("i").alias("row_index"), "text", F.lit(None).cast("string").alias("canonical_label"), F.when(F.col("i") > 1, "All").alias("parent_row"), F.when(F.col("i") > 1, 1).otherwise(0).alias("indent_level"))
     columns = tables.select("t", F.inline(F.array(*[F.struct(F.lit(n).alias("column_index"), F.lit(h).alias("header")) for n, h in ((1, "Q1-2024"), (2, "Status"))])))

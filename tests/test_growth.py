@@ -84,3 +84,8 @@ def test_labels_are_made_once(spark):
 
 def test_wide_lines_are_dealt_once(spark):
     assert exchanges(spark, groups.tables_on_side_whole) <= 2
+
+
+def test_cells_are_dealt_once(spark):
+    assert exchanges(spark, nested.nested_cell_texts) <= 8
+    assert exchanges(spark, nested.nested_row_texts) <= 8
