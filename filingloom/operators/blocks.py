@@ -25,12 +25,19 @@ _PRINT = ["n", "f1", "f2"]
 
 
 def _confirmed(rows: DataFrame, prints: DataFrame, within: Sequence[str], block: Sequence[str], at: str, value: str) -> DataFrame:
-    """``prints`` with ``exact``: null where all rows under a fingerprint are equal byte by byte, else a digest of the whole sequence."""
-    each = rows.join(prints, list(block)).groupBy(*within, *_PRINT, at).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count_if(F.col(value).isNull()).alias("gone"), F.count("*").alias("all"))
-    doubtful = each.where((F.col("lo") != F.col("hi")) | F.col("gone").between(1, F.col("all") - 1)).select(*within, *_PRINT).distinct()
+    """``prints`` with ``exact``: empty where all rows under a fingerprint are equal byte by byte, else a digest of the whole sequence.
+
+    Only blocks that share their fingerprint are compared; their rows stay where they are if they are dealt so already.
+    """
+    same = F.count("*").over(Window.partitionBy(*within, *_PRINT))
+    shared = prints.withColumn("_same", same).where("_same > 1").select(*block, *_PRINT)
+    each = rows.join(shared, list(block)).groupBy(*within, *_PRINT, at).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count_if(F.col(value).isNull()).alias("gone"), F.count("*").alias("all"))
+    doubtful = cut(each.where((F.col("lo") != F.col("hi")) | F.col("gone").between(1, F.col("all") - 1)).select(*within, *_PRINT).distinct())
+    if doubtful.isEmpty():
+        return prints.withColumn("exact", F.lit(""))
     few = rows.join(prints.join(doubtful, [*within, *_PRINT], "left_semi").select(*block), list(block), "left_semi")
     whole = few.groupBy(*block).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.coalesce(F.col(value), F.lit("\x00")).alias("v"))))), 256).alias("exact"))
-    return prints.join(whole, list(block), "left")
+    return prints.join(whole, list(block), "left").withColumn("exact", F.coalesce("exact", F.lit("")))
 
 
 def sequence_groups(rows: DataFrame, keys: Sequence[str], block: str, at: str, label: str) -> DataFrame:
@@ -44,11 +51,10 @@ def sequence_groups(rows: DataFrame, keys: Sequence[str], block: str, at: str, l
     of = [*keys, block]
     number = F.row_number().over(Window.partitionBy(*of).orderBy(at))
     numbered = rows.select(*of, number.alias("_at"), F.lower(F.trim(F.coalesce(F.col(label), F.lit("")))).alias("_l"))
-    prints = cut(numbered.groupBy(*of).agg(*_fingerprint(F.col("_at"), F.col("_l"))))
-    sure = _confirmed(numbered, prints, keys, of, "_at", "_l").withColumn("exact", F.coalesce("exact", F.lit("")))
-    same = [*keys, *_PRINT, "exact"]
-    groups = sure.groupBy(*same).agg(F.min(block).alias("group"), F.count("*").alias("blocks")).where("blocks > 1")
-    return sure.join(groups, same).select(*of, "group", "blocks")
+    prints = numbered.groupBy(*of).agg(*_fingerprint(F.col("_at"), F.col("_l")))
+    sure = _confirmed(numbered, prints, keys, of, "_at", "_l")
+    w = Window.partitionBy(*keys, *_PRINT, "exact")
+    return sure.withColumns({"group": F.min(block).over(w), "blocks": F.count("*").over(w)}).where("blocks > 1").select(*of, "group", "blocks")
 
 
 def merge_beside(cells: DataFrame, groups: DataFrame, keys: Sequence[str], block: str, row: str, column: str, value: str) -> DataFrame:
@@ -58,13 +64,15 @@ def merge_beside(cells: DataFrame, groups: DataFrame, keys: Sequence[str], block
     Rows are numbered as in the blocks; columns anew. Blocks outside groups are not returned.
     """
     of = [*keys, block]
+    # Every step below asks for the groups.
+    groups = cut(groups)
     mine = cells.join(groups.select(*of, "group"), of)
     # Labels are those of the first block.
     mine = mine.where((F.col(column) > 1) | (F.col(block) == F.col("group")))
     numbered = mine.select(*keys, "group", block, F.col(column).alias("_c"), F.col(row).alias("_r"), F.col(value).alias("_v")).where("_v IS NOT NULL")
     which = [*keys, "group", block, "_c"]
-    prints = cut(numbered.groupBy(*which).agg(*_fingerprint(F.col("_r"), F.col("_v"))))
-    sure = _confirmed(numbered, prints, [*keys, "group"], which, "_r", "_v").withColumn("exact", F.coalesce("exact", F.lit("")))
+    prints = numbered.groupBy(*which).agg(*_fingerprint(F.col("_r"), F.col("_v")))
+    sure = _confirmed(numbered, prints, [*keys, "group"], which, "_r", "_v")
     # Column 1 stands apart: a data column may repeat the labels.
     first = sure.groupBy(*keys, "group", *_PRINT, "exact", (F.col("_c") == 1).alias("_label")).agg(F.min(F.struct(block, "_c")).alias("_of")).select(*keys, "group", "_label", F.col(f"_of.{block}").alias(block), "_of._c")
     place = F.row_number().over(Window.partitionBy(*keys, "group").orderBy(F.desc("_label"), block, "_c"))
@@ -77,8 +85,8 @@ def distinct_columns(cells: DataFrame, keys: Sequence[str], row: str, column: st
     plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     numbered = cells.select(*keys, F.col(column).alias("_c"), plain(header).alias("_h"), F.col(row).alias("_r"), plain(value).alias("_v"))
     which = [*keys, "_h", "_c"]
-    prints = cut(numbered.groupBy(*which).agg(*_fingerprint(F.col("_r"), F.col("_v"))))
-    sure = _confirmed(numbered, prints, [*keys, "_h"], which, "_r", "_v").withColumn("exact", F.coalesce("exact", F.lit("")))
+    prints = numbered.groupBy(*which).agg(*_fingerprint(F.col("_r"), F.col("_v")))
+    sure = _confirmed(numbered, prints, [*keys, "_h"], which, "_r", "_v")
     return sure.groupBy(*keys, F.col("_h").alias(header), *_PRINT, "exact").agg(F.min("_c").alias(column)).select(*keys, column, header)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingloom.operators import blocks, fuzzy
+from filingloom.operators.shared import cut
 from filingloom.plans.registry import _t, query
 
 _TITLES = ["Consolidated balance sheets of part {} unaudited", "Income by region and product, part {}", "Quarterly cash flow summary {} restated", "Average loans and deposits held {}", "Shareholders equity roll forward {}"]
@@ -83,7 +84,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, "group" ORDER BY c >
 SELECT o_custkey, p."group" AS o_orderkey, r, too AS c, v FROM k JOIN p USING (o_custkey, "group", o_orderkey, c)""")
 def merged_beside(spark, d):
     lines = _lines(spark, d)
-    groups = blocks.sequence_groups(lines, ["o_custkey"], "o_orderkey", "r", "l")
+    groups = cut(blocks.sequence_groups(lines, ["o_custkey"], "o_orderkey", "r", "l"))
+    # Lines of other orders go before each of them becomes three cells.
+    lines = lines.join(groups.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "left_semi")
     cell = lambda c, v: F.struct(F.lit(c).alias("c"), v.cast("string").alias("v"))
     cells = lines.select("o_custkey", "o_orderkey", "r", F.inline(F.array(cell(1, F.col("l")), cell(2, F.col("q") % 3), cell(3, F.col("q") > 25))))
     return blocks.merge_beside(cells, groups, ["o_custkey"], "o_orderkey", "r", "c", "v")

@@ -94,7 +94,7 @@ s AS (SELECT t, c, string_agg(i || ':' || v, '|' ORDER BY i) AS s FROM r GROUP B
 SELECT t, min(c)::INT AS c FROM s GROUP BY t, CASE WHEN c < 4 THEN 'Flag' ELSE 'Amount' END, s""")
 def distinct_columns(spark, d):
     i = _line_number()
-    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("t"), i.alias("i"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("q"))
+    lines = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "t").select("t", i.alias("i"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("q"))
     cell = lambda c, h, v: F.struct(F.lit(c).alias("c"), F.lit(h).alias("h"), F.col(v).alias("v"))
     cells = lines.select("t", "i", F.inline(F.array(cell(1, "Flag", "l_returnflag"), cell(2, " flag ", "l_returnflag"), cell(3, "FLAG", "l_linestatus"), cell(4, "Amount", "q"))))
     return blocks.distinct_columns(cells, ["t"], "i", "c", "h", "v").select("t", "c")

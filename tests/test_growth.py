@@ -89,3 +89,7 @@ def test_wide_lines_are_dealt_once(spark):
 def test_cells_are_dealt_once(spark):
     assert exchanges(spark, nested.nested_cell_texts) <= 8
     assert exchanges(spark, nested.nested_row_texts) <= 8
+
+
+def test_fingerprints_follow_the_dealing(spark):
+    assert exchanges(spark, nested.distinct_columns) <= 2
