@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -31,48 +33,58 @@ def _slot(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}:{value}".encode()) & (SLOTS - 1)
 
 
-def _shape(word: str) -> str:
-    """Runs of upper case, lower case, digits and each other character, runs shortened to one or two."""
-    out: list[str] = []
-    for c in word:
-        s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if len(out) < 2 or out[-1] != s or out[-2] != s:
-            out.append(s)
-    return "".join(out)
-
-
-class _Words:
-    """Facts on each distinct word, kept by a worker: length, flags, feature slots."""
-
-    LIMIT = 500_000
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.facts = np.zeros((1 << 14, 6), np.int32)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.LIMIT:
-            self.__init__()
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
-        fresh = np.flatnonzero(at < 0)
-        first = len(self.known)
-        if first + len(fresh) > len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros((max(len(fresh), len(self.facts)), 6), np.int32)])
-        for k, i in enumerate(fresh.tolist()):
-            raw = words[i]
-            w = raw.decode(errors="replace").strip(" \t\n\x0b\x0c\r")
-            letters = sum(map(str.isalpha, w))
-            odd = sum(c in "#*$%&|<>" for c in w)
-            others = len(w) - sum(map(str.isalnum, w))
-            upper = int(letters > 1 and w.upper() == w and w.lower() != w)
-            plain = int(letters > 0 and others <= 1)
-            self.facts[first + k] = (len(w), odd, upper, others, plain, _slot("s", _shape(w)))
-            self.known[raw] = first + k
-        at[fresh] = np.arange(first, first + len(fresh))
-        return at
-
-
-_WORDS = _Words()
+#: What a character is: white space, a letter, none of letters and digits, a symbol, changed by upper(), changed by lower().
+BLANK, LETTER, OTHER, ODD, RAISED, LOWERED = (1 << k for k in range(6))
+#: Code points whose facts a worker keeps in a table; those beyond are looked at one by one.
+PLANE = 1 << 16
+
+
+def _of_char(c: str) -> tuple[int, int]:
+    """Flags of a character, and what stands for it in the shape of a word."""
+    flags = BLANK * (c in " \t\n\x0b\x0c\r") | LETTER * c.isalpha() | OTHER * (not c.isalnum()) | ODD * (c in "#*$%&|<>") | RAISED * (c.upper() != c) | LOWERED * (c.lower() != c)
+    return flags, ord("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c)
+
+
+@functools.cache
+def _char_table() -> tuple[np.ndarray, np.ndarray]:
+    found = np.array([_of_char(chr(k)) for k in range(PLANE)])
+    return found[:, 0].astype(np.uint8), found[:, 1].astype(np.uint32)
+
+
+def _char_facts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    flags, shapes = (known[np.minimum(points, PLANE - 1)] for known in _char_table())
+    for k in np.unique(points[points >= PLANE]).tolist():
+        flags[points == k], shapes[points == k] = _of_char(chr(k))
+    return flags, shapes
+
+
+def _word_facts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Length, symbols, upper case or not, characters that are no letters or digits, plain or not, and the slot of the shape of each word.
+
+    Words are the bytes of ``data`` between ``bounds``; white space after them doesn't count. A shape is
+    runs of upper case, lower case, digits and each other character, runs shortened to one or two.
+    """
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    # Characters before each byte, of which each has one that doesn't continue another.
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    begins = starts[:-1]
+    flags, shapes = _char_facts(points)
+    count = lambda f: np.add.reduceat(f, begins, dtype=np.int64)
+    word = (flags & BLANK) == 0
+    length, letters, odd = count(word), count((flags & LETTER) > 0), count((flags & ODD) > 0)
+    others = count(word & ((flags & OTHER) > 0))
+    upper = (letters > 1) & (count((flags & RAISED) > 0) == 0) & (count((flags & LOWERED) > 0) > 0)
+    kept = word.copy()
+    third = np.ones(len(points), bool)
+    third[begins] = False
+    third[np.minimum(begins + 1, len(points) - 1)] = False
+    kept[2:] &= ~(third[2:] & (shapes[2:] == shapes[1:-1]) & (shapes[2:] == shapes[:-2]))
+    ends = 4 * np.concatenate([[0], np.cumsum(kept)])[starts]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(shapes[kept].tobytes())]).dictionary_encode()
+    slots = np.array([_slot("s", x.decode("utf-32-le")) for x in coded.dictionary.to_pylist()], np.int64)
+    return np.stack([length, odd, upper, others, (letters > 0) & (others <= 1), slots[coded.indices.to_numpy()]], 1)
+
+
 #: Columns that ``measure`` gives each text; words are distinct within each BLOCK of words, so that length alone lowers no share.
 MEASURES = ("n", "length", "odd", "upper", "others", "plain", "adjacent", "distinct")
 
@@ -96,25 +108,39 @@ def measure(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
         at = np.flatnonzero(begins)
         if not len(at):
             continue
-        bounds = np.unique(np.concatenate([at, first, [len(data)]]))
+        begins[first] = True
+        bounds = np.append(np.flatnonzero(begins), len(data))
         kept = np.searchsorted(bounds, at)
         coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(buffer)]).dictionary_encode()
-        places = _WORDS.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        code = places[coded.indices.to_numpy(zero_copy_only=False)[kept]]
-        facts = _WORDS.facts[code]
-        upto = np.searchsorted(at, ends).tolist()
+        code = coded.indices.to_numpy()[kept].astype(np.int64)
+        _, offsets, distinct_words = coded.dictionary.buffers()
+        starts = np.frombuffer(offsets, np.int32, len(coded.dictionary) + 1)
+        facts = _word_facts(np.frombuffer(distinct_words, np.uint8, int(starts[-1])), starts)[code]
+        upto = np.searchsorted(at, ends)
+        n = np.diff(upto, prepend=0)
+        # Texts with words, each text's first word, and the text of each word.
+        some = np.flatnonzero(n)
+        n, low = n[some], (upto - n)[some]
+        own = np.repeat(np.arange(len(some)), n)
+        adjacent = np.zeros(len(at), np.int64)
+        adjacent[1:] = (code[1:] == code[:-1]) & (own[1:] == own[:-1])
+        # Blocks are numbered through all texts.
+        blocks = (n + BLOCK - 1) // BLOCK
+        block = np.repeat(np.cumsum(blocks) - blocks, n) + (np.arange(len(at)) - np.repeat(low, n)) // BLOCK
+        marks = np.sort(block * len(starts) + code)
+        found = marks[np.concatenate([[True], marks[1:] != marks[:-1]])] // len(starts)
+        distinct = np.bincount(np.repeat(np.arange(len(some)), blocks)[found], minlength=len(some))
+        adjacent = np.add.reduceat(adjacent, low)
+        doc = np.array([i for i, _ in part])[some]
+        out[doc] = np.column_stack([n, np.add.reduceat(facts[:, :5], low), adjacent, distinct])
+        shapes, counts = np.unique(own * SLOTS + facts[:, 5], return_counts=True)
+        shares = np.sqrt(counts / n[shapes // SLOTS])
+        repeats = np.stack([np.sqrt(adjacent / n), np.sqrt(1 - distinct / n)], 1)
+        hi = np.searchsorted(shapes, (np.arange(len(some)) + 1) * SLOTS).tolist()
         lo = 0
-        for (i, _), hi in zip(part, upto, strict=True):
-            n = hi - lo
-            if n:
-                own, shape = facts[lo:hi], facts[lo:hi, 5]
-                sums = own[:, :5].sum(0)
-                adjacent = int((code[lo + 1 : hi] == code[lo : hi - 1]).sum())
-                distinct = len(np.unique(code[lo:hi] + len(_WORDS.facts) * (np.arange(n) // BLOCK)))
-                out[i] = (n, *sums, adjacent, distinct)
-                s, c = np.unique(shape, return_counts=True)
-                slots[i] = (np.append(s, [same, few]), np.append(np.sqrt(c / n), [np.sqrt(adjacent / n), np.sqrt(1 - distinct / n)]))
-            lo = hi
+        for k, i in enumerate(doc.tolist()):
+            slots[i] = (np.append(shapes[lo : hi[k]] % SLOTS, [same, few]), np.append(shares[lo : hi[k]], repeats[k]))
+            lo = hi[k]
     return out, slots
 
 
@@ -146,20 +172,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            m, _ = measure([t or "" for t in part.column(3).to_pylist()])
+            m, slots = measure([t or "" for t in part.column(3).to_pylist()])
             v = votes(m)
             columns = [pa.array(c, pa.int8(), mask=c < 0) for c in v.T]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(m[:, 0]), *columns], names=["doc_id", "_id", "_h", "n_words", *LABELLERS])
-
-
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            _, slots = measure([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([s for s, _ in slots], pa.list_(pa.int64())), pa.array([v for _, v in slots], pa.list_(pa.float64()))], names=["posterior", "_h", "slots", "shares"]
-            )
+            features = [pa.array([s for s, _ in slots], pa.list_(pa.int64())), pa.array([x for _, x in slots], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(m[:, 0]), *columns, *features], names=["doc_id", "_id", "_h", "n_words", *LABELLERS, "slots", "shares"])
 
 
 def train(posterior: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarray], rounds_: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -195,13 +212,12 @@ def _train_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": np.append(used, SLOTS), "weight": np.append(w[used], b)})
 
 
-def fit_scorer(docs: DataFrame, weak: DataFrame, id_col: str, text_col: str, train_rows: int) -> tuple[np.ndarray, float]:
-    """Train on at most ``train_rows`` rows of each sure weak label; the weights (SLOTS at most) come to the driver."""
+def fit_scorer(weak: DataFrame, train_rows: int) -> tuple[np.ndarray, float]:
+    """Train on at most ``train_rows`` keys of each sure weak label; the weights (SLOTS at most) come to the driver."""
     picked = [weak.where(c).orderBy("_h", "_id").limit(train_rows) for c in (F.col("posterior") >= SURE, F.col("posterior") <= 1 - SURE)]
-    chosen = picked[0].union(picked[1]).select("_id", "_h", "posterior").dropDuplicates(["_id", "_h"])
-    texts = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    chosen = picked[0].union(picked[1]).select("_id", "_h").dropDuplicates(["_id", "_h"])
     # At most 2 * train_rows keys: a bound that doesn't grow with the data.
-    rows = texts.join(F.broadcast(chosen), ["_id", "_h"]).select("posterior", "text", "_h").mapInArrow(_featured, "posterior double, _h bigint, slots array<bigint>, shares array<double>")
+    rows = weak.join(F.broadcast(chosen), ["_id", "_h"]).select("posterior", "_h", "slots", "shares")
     found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_train_group, "slot bigint, weight double").collect()
     w, b = np.zeros(SLOTS), 0.0
     for r in found:
@@ -231,34 +247,27 @@ def classify(
     repeated rows score alike; an empty table gives no rows; other columns are
     not read.
     """
-    whole = docs if learn_from is None else learn_from
     keyed = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
-    schema = "doc_id bigint, _id bigint, _h bigint, n_words bigint, " + ", ".join(f"{n} tinyint" for n in LABELLERS)
-    voted = materialise(keyed(whole).mapInArrow(_measured, schema), "votes")
+    schema = "doc_id bigint, _id bigint, _h bigint, n_words bigint, " + ", ".join(f"{n} tinyint" for n in LABELLERS) + ", slots array<bigint>, shares array<double>"
+    # Votes and features of a text are written together, so that no text is read twice.
+    voted = materialise(keyed(docs if learn_from is None else learn_from).mapInArrow(_measured, schema), "votes")
     model = model or fit(voted.where("n_words > 0"), LABELLERS)
     posterior = model.posterior({n: F.col(n) for n in LABELLERS})
-    weak = voted.withColumn("posterior", posterior)
-    some = weak.where("n_words > 0")
+    some = voted.withColumn("posterior", posterior).where("n_words > 0")
     counts = some.agg(F.count(F.when(F.col("posterior") >= SURE, 1)), F.count(F.when(F.col("posterior") <= 1 - SURE, 1))).first()
+    own = voted if learn_from is None else keyed(docs).mapInArrow(_measured, schema)
+    own = own.select("doc_id", "_id", "_h", "n_words", posterior.alias("posterior"), "slots", "shares")
     if not all(counts):
-        if learn_from is not None:
-            weak = keyed(docs).mapInArrow(_measured, schema).withColumn("posterior", posterior)
-        return weak.select("doc_id", "_id", "_h", "n_words", "posterior", F.when(F.col("n_words") > 0, F.col("posterior")).otherwise(0.0).alias("score")).withColumn("kept", F.col("score") >= threshold)
-    w, b = fit_scorer(whole, some, id_col, text_col, train_rows)
+        return own.drop("slots", "shares").withColumn("score", F.when(F.col("n_words") > 0, F.col("posterior")).otherwise(0.0)).withColumn("kept", F.col("score") >= threshold)
+    w, b = fit_scorer(some, train_rows)
 
     def score(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                m, slots = measure([t or "" for t in part.column(3).to_pylist()])
-                z = np.array([w[s] @ v + b for s, v in slots])
-                s = np.where(m[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
-                v = votes(m).astype(float)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(m[:, 0]), pa.array([model.log_odds([None if x < 0 else int(x) for x in r]) for r in v]), pa.array(s)],
-                    names=["doc_id", "_id", "_h", "n_words", "odds", "score"],
-                )
-
-    scored = keyed(docs).mapInArrow(score, "doc_id bigint, _id bigint, _h bigint, n_words bigint, odds double, score double")
-    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("odds")))
-    return scored.select("doc_id", "_id", "_h", "n_words", posterior.alias("posterior"), "score", (F.col("score") >= threshold).alias("kept"))
+            slots, shares = batch.column("slots"), batch.column("shares")
+            s, v = slots.values.to_numpy(), shares.values.to_numpy()
+            z = np.array([w[s[lo:hi]] @ v[lo:hi] + b for lo, hi in itertools.pairwise(slots.offsets.to_pylist())])
+            s = np.where(batch.column("n_words").to_numpy() > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(s, pa.float64())], names=["doc_id", "_id", "_h", "n_words", "posterior", "score"])
+
+    scored = own.mapInArrow(score, "doc_id bigint, _id bigint, _h bigint, n_words bigint, posterior double, score double")
+    return scored.withColumn("kept", F.col("score") >= threshold)
