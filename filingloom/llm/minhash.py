@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import discard, let, materialise
+from filingloom.llm.common import discard, let, materialise, readable
 from filingloom.llm.components import components
 from filingloom.llm.tokens import rounds
 
@@ -259,10 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Nothing is capped or sampled. Empty and null texts have no shingles and are
     linked with nothing. Rows that repeat an id are one document: their sets are
     linked whatever they hold, and all have the id's component. Rows with a null
-    id keep a null component and aren't kept. An empty table gives no rows, other
-    columns are not read.
+    id keep a null component and aren't kept. Bytes that are no UTF-8 count as
+    U+FFFD. An empty table gives no rows, other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), readable(F.col(text_col)).alias("text"))
     feats = materialise(texts.mapInArrow(_features, "doc_id bigint, text_hash bigint, n bigint, set_hash binary, sig array<bigint>, odd array<bigint>"), "features")
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     # All rows of a group have its set, so any gives its size, signature and parity bits.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise
+from filingloom.llm.common import materialise, readable
 from filingloom.llm.tokens import SliceCache, rounds, slice_ids
 
 
@@ -247,7 +247,8 @@ def pack(
     bin that it began with.
 
     Null and empty texts are one id, 0; repeated rows are packed each on their
-    own; an empty table gives no rows; other columns are not read.
+    own; bytes that are no UTF-8 count as U+FFFD; an empty table gives no rows;
+    other columns are not read.
     """
     def run(batches):
         return _pack_partition(batches, tokenizer, size, open_bins)
@@ -255,7 +256,7 @@ def pack(
     def merge(bins):
         return _merge_bins(bins, size, 8 * open_bins)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), readable(F.col(text_col)).alias("text"))
     placed = materialise(picked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, bin bigint, place bigint"), "placed")
     open_ = placed.where("piece < 0").select("part", "bin", F.floor(F.col("part") / merge_tasks).alias("block"))
     pieces = placed.where("piece >= 0").select("part", "bin", "place", "length").join(open_, ["part", "bin"])

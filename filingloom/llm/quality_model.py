@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import materialise, row_key
+from filingloom.llm.common import materialise, readable, row_key
 from filingloom.llm.tokens import rounds
 from filingloom.llm.weak_labels import VoteModel, fit
 
@@ -244,10 +244,10 @@ def classify(
 
     Without sure rows of both kinds there is nothing to tell apart, and the
     posterior is the score. Null and empty texts score 0 and aren't kept;
-    repeated rows score alike; an empty table gives no rows; other columns are
-    not read.
+    repeated rows score alike; bytes that are no UTF-8 count as U+FFFD; an empty
+    table gives no rows; other columns are not read.
     """
-    keyed = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    keyed = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(F.col(id_col), F.col(text_col)), readable(F.col(text_col)).alias("text"))
     schema = "doc_id bigint, _id bigint, _h bigint, n_words bigint, " + ", ".join(f"{n} tinyint" for n in LABELLERS) + ", slots array<bigint>, shares array<double>"
     # Votes and features of a text are written together, so that no text is read twice.
     voted = materialise(keyed(docs if learn_from is None else learn_from).mapInArrow(_measured, schema), "votes")
