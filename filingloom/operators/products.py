@@ -103,41 +103,79 @@ def candidates(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataF
     return pairs.select("ids", "rows", "query_ids", "queries").mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
 
 
+def _of_best(at: np.ndarray, score: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of scores that are no more than ``margin`` below the ``k``-th of their query, and queries that have as many, as a map to that score."""
+    by = np.lexsort((-score, at))
+    begins = np.flatnonzero(np.concatenate([[True], at[by][1:] != at[by][:-1]])) if len(by) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(begins, len(by)))
+    last = np.full(len(begins), -np.inf)
+    full = sizes >= k
+    last[full] = score[by][begins[full] + k - 1]
+    return by[score[by] >= np.repeat(last, sizes) - margin], np.stack([at[by][begins[full]], last[full]])
+
+
+class _Kept:
+    """What can be among the best ``k`` of each query of a block, over all documents seen."""
+
+    def __init__(self, query_ids: pa.Array, terms: pa.ListArray, weights: pa.ListArray, k: int, digits: int):
+        self.query_ids, self.k, self.digits = query_ids, k, digits
+        self.known = terms.flatten().unique()
+        # The j-th term of each query; the last row of the table of documents is that of no term.
+        sizes = pa.compute.list_value_length(terms).to_numpy()
+        starts, own = np.cumsum(sizes) - sizes, np.append(pa.compute.index_in(terms.flatten(), value_set=self.known).to_numpy(), len(self.known))
+        weight = np.append(weights.flatten().to_numpy(), 0.0)
+        places = [np.where(sizes > j, starts + j, len(own) - 1) for j in range(int(sizes.max(initial=0)))]
+        self.terms = [(own[p], weight[p][:, None]) for p in places]
+        self.least = np.full(len(query_ids), 0.4 * 10.0**-digits)
+        self.at, self.score, self.ids = np.empty(0, np.int64), np.empty(0), None
+
+    def add(self, ids: pa.Array, terms: pa.ListArray, parts: pa.ListArray) -> None:
+        table = np.zeros((len(self.known) + 1, len(ids)))
+        code = pa.compute.index_in(terms.flatten(), value_set=self.known)
+        here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        table[code.take(pa.array(here)).to_numpy(), pa.compute.list_parent_indices(terms).to_numpy()[here]] = parts.flatten().to_numpy()[here]
+        score = np.zeros((len(self.query_ids), len(ids)))
+        for own, weight in self.terms:
+            score += weight * table[own]
+        least = self.least
+        if self.ids is None and self.k < len(ids):
+            least = np.maximum(least, np.partition(score, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - 10.0 ** (1 - self.digits))
+        at, row = np.nonzero(score >= least[:, None])
+        if not len(at):
+            return
+        at, found, these = np.append(self.at, at), np.append(self.score, score[at, row]), ids.take(pa.array(row))
+        these = these if self.ids is None else pa.concat_arrays([self.ids, these])
+        near, full = _of_best(at, found, self.k, 10.0 ** (1 - self.digits))
+        at, found, these = at[near], found[near], these.take(pa.array(near))
+        rank = np.empty(len(at), np.int64)
+        rank[pa.compute.sort_indices(these).to_numpy()] = np.arange(len(at))
+        keep = _first_of_ties(at, rank, np.round(found, self.digits), self.k)
+        self.at, self.score, self.ids = at[keep], found[keep], these.take(pa.array(keep))
+        self.least[full[0].astype(np.int64)] = np.maximum(full[1] - 10.0 ** (1 - self.digits), 0.4 * 10.0**-self.digits)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.query_ids.take(pa.array(self.at)), self.ids, pa.array(self.score)], names=["query_id", "id", "score"])
+
+
 def weighed(pairs: DataFrame, k: int, digits: int, id_kind: str, query_kind: str) -> DataFrame:
-    """``query_id``, ``id``, ``score`` of what a pair of blocks adds to the best ``k`` of its queries, by sums of ``s`` times ``weight`` over the terms that both have, above 0, rounded to ``digits``.
+    """``query_id``, ``id``, ``score`` of what can be among the best ``k`` of each query over a task's pairs of blocks, by sums of ``parts`` times ``weights`` over the terms that both have, above 0, rounded to ``digits``.
 
-    Blocks hold ``ids``, ``terms`` and ``parts`` (arrays) of documents, ``query_ids``, ``query_terms`` and ``weights`` of queries.
+    Blocks hold ``ids``, ``terms`` and ``parts`` (arrays) of documents, ``query_ids``, ``query_terms`` and ``weights`` of queries; a
+    query stands in one block. A task keeps some ``k`` rows of each query between its pairs and gives them at its end.
     """
     names = ["ids", "terms", "parts", "query_ids", "query_terms", "weights"]
 
-    def one(ids, terms, parts, query_ids, query_terms, weights):
-        known = query_terms.flatten().unique()
-        table = np.zeros((len(known) + 1, len(ids)))
-        code = pa.compute.index_in(terms.flatten(), value_set=known)
-        here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
-        table[code.take(pa.array(here)).to_numpy(), pa.compute.list_parent_indices(terms).to_numpy()[here]] = parts.flatten().to_numpy()[here]
-        # The j-th term of each query; the last row of the table is that of no term.
-        sizes = pa.compute.list_value_length(query_terms).to_numpy()
-        starts, own = np.cumsum(sizes) - sizes, np.append(pa.compute.index_in(query_terms.flatten(), value_set=known).to_numpy(), len(known))
-        weight = np.append(weights.flatten().to_numpy(), 0.0)
-        score = np.zeros((len(query_ids), len(ids)))
-        for j in range(int(sizes.max(initial=0))):
-            place = np.where(sizes > j, starts + j, len(own) - 1)
-            score += weight[place][:, None] * table[own[place]]
-        some = 0.4 * 10.0**-digits
-        least = np.full(len(query_ids), some)
-        if k < len(ids):
-            least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0 ** (1 - digits))
-        at, row = np.nonzero(score >= least[:, None])
-        rank = np.empty(len(ids), np.int64)
-        rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        found = score[at, row]
-        keep = _first_of_ties(at, rank[row], np.round(found, digits), k)
-        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(at[keep])), ids.take(pa.array(row[keep])), pa.array(found[keep])], names=["query_id", "id", "score"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[object, _Kept] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                yield one(*(batch.column(batch.schema.get_field_index(n))[i].values for n in names))
+                ids, terms, parts, query_ids, query_terms, weights = (batch.column(batch.schema.get_field_index(n))[i].values for n in names)
+                first = query_ids[0].as_py()
+                if first not in kept:
+                    kept[first] = _Kept(query_ids.take(pa.array(np.arange(len(query_ids)))), query_terms, weights, k, digits)
+                kept[first].add(ids, terms, parts)
+        for block in kept.values():
+            if len(block.at):
+                yield block.rows()
 
     return pairs.select(*names).mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
