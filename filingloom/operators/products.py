@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 #: Rows and queries of a block; bounds memory, not results.
 ROWS, QUERIES = 4096, 1024
 #: Documents and queries of terms of a block.
-DOCUMENTS, TERM_QUERIES = 1024, 512
+DOCUMENTS, TERM_QUERIES = 512, 512
+#: Queries of terms that travel together, as each row of them meets each block of documents.
+QUERY_ROWS = 8192
 #: Scores so near to the last of the best are kept, as ranks are by rounded scores.
 MARGIN = 1e-8
 
@@ -103,6 +105,26 @@ def candidates(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataF
     return pairs.select("ids", "rows", "query_ids", "queries").mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
 
 
+def counted(rows: DataFrame, words: str, keep: Sequence[str]) -> DataFrame:
+    """``terms``, the distinct ``words`` (an array) of each row, how often each stands there (``tfs``), and ``len``, beside the columns ``keep``."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                part = whole.slice(lo, 1024)
+                lists = part.column(words)
+                coded = lists.flatten().dictionary_encode()
+                some = max(len(coded.dictionary), 1)
+                marks, tfs = np.unique(pa.compute.list_parent_indices(lists).to_numpy() * some + coded.indices.to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(marks, np.arange(part.num_rows + 1) * some).astype(np.int32))
+                own = [pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(marks % some))), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *own, pa.compute.list_value_length(lists)], names=[*keep, "terms", "tfs", "len"])
+
+    out = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "terms array<string>, tfs array<int>, len int"])
+    return rows.select(*keep, words).mapInArrow(count, out)
+
+
 def _of_best(at: np.ndarray, score: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of scores that are no more than ``margin`` below the ``k``-th of their query, and queries that have as many, as a map to that score."""
     by = np.lexsort((-score, at))
@@ -117,23 +139,26 @@ def _of_best(at: np.ndarray, score: np.ndarray, k: int, margin: float) -> tuple[
 class _Kept:
     """What can be among the best ``k`` of each query of a block, over all documents seen."""
 
-    def __init__(self, query_ids: pa.Array, terms: pa.ListArray, weights: pa.ListArray, k: int, digits: int):
+    def __init__(self, query_ids: pa.Array, codes: np.ndarray, sizes: np.ndarray, weights: np.ndarray, known: int, k: int, digits: int):
+        """Of ``known`` terms by number, the queries have those of ``codes``, ``sizes`` of them each."""
         self.query_ids, self.k, self.digits = query_ids, k, digits
-        self.known = terms.flatten().unique()
+        own, numbers = np.unique(codes, return_inverse=True)
+        self.place = np.full(known, -1, np.int32)
+        self.place[own] = np.arange(len(own))
+        self.size = len(own)
         # The j-th term of each query; the last row of the table of documents is that of no term.
-        sizes = pa.compute.list_value_length(terms).to_numpy()
-        starts, own = np.cumsum(sizes) - sizes, np.append(pa.compute.index_in(terms.flatten(), value_set=self.known).to_numpy(), len(self.known))
-        weight = np.append(weights.flatten().to_numpy(), 0.0)
-        places = [np.where(sizes > j, starts + j, len(own) - 1) for j in range(int(sizes.max(initial=0)))]
-        self.terms = [(own[p], weight[p][:, None]) for p in places]
+        starts, numbers, weight = np.cumsum(sizes) - sizes, np.append(numbers, len(own)), np.append(weights, 0.0)
+        places = [np.where(sizes > j, starts + j, len(codes)) for j in range(int(sizes.max(initial=0)))]
+        self.terms = [(numbers[p], weight[p][:, None]) for p in places]
         self.least = np.full(len(query_ids), 0.4 * 10.0**-digits)
         self.at, self.score, self.ids = np.empty(0, np.int64), np.empty(0), None
 
-    def add(self, ids: pa.Array, terms: pa.ListArray, parts: pa.ListArray) -> None:
-        table = np.zeros((len(self.known) + 1, len(ids)))
-        code = pa.compute.index_in(terms.flatten(), value_set=self.known)
-        here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
-        table[code.take(pa.array(here)).to_numpy(), pa.compute.list_parent_indices(terms).to_numpy()[here]] = parts.flatten().to_numpy()[here]
+    def add(self, ids: pa.Array, codes: np.ndarray, docs: np.ndarray, parts: np.ndarray) -> None:
+        """Documents ``ids`` (by their places ``docs``) with terms of ``codes``."""
+        table = np.zeros((self.size + 1, len(ids)))
+        own = self.place[codes]
+        here = own >= 0
+        table[own[here], docs[here]] = parts[here]
         score = np.zeros((len(self.query_ids), len(ids)))
         for own, weight in self.terms:
             score += weight * table[own]
@@ -165,17 +190,29 @@ def weighed(pairs: DataFrame, k: int, digits: int, id_kind: str, query_kind: str
     """
     names = ["ids", "terms", "parts", "query_ids", "query_terms", "weights"]
 
+    block = TERM_QUERIES
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[object, _Kept] = {}
+        asked: dict[object, tuple[pa.Array, list[_Kept]]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, terms, parts, query_ids, query_terms, weights = (batch.column(batch.schema.get_field_index(n))[i].values for n in names)
                 first = query_ids[0].as_py()
-                if first not in kept:
-                    kept[first] = _Kept(query_ids.take(pa.array(np.arange(len(query_ids)))), query_terms, weights, k, digits)
-                kept[first].add(ids, terms, parts)
-        for block in kept.values():
-            if len(block.at):
-                yield block.rows()
+                if first not in asked:
+                    flat = query_terms.flatten()
+                    known, sizes, weight = flat.unique(), pa.compute.list_value_length(query_terms).to_numpy(), weights.flatten().to_numpy()
+                    codes, upto = pa.compute.index_in(flat, value_set=known).to_numpy(), np.append(0, np.cumsum(sizes))
+                    spans = [(lo, min(lo + block, len(query_ids))) for lo in range(0, len(query_ids), block)]
+                    asked[first] = known, [_Kept(query_ids.take(pa.array(np.arange(lo, hi))), codes[upto[lo] : upto[hi]], sizes[lo:hi], weight[upto[lo] : upto[hi]].copy(), len(known), k, digits) for lo, hi in spans]
+                known, kept = asked[first]
+                code = pa.compute.index_in(terms.flatten(), value_set=known)
+                here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                hits = code.take(pa.array(here)).to_numpy(), pa.compute.list_parent_indices(terms).to_numpy()[here], parts.flatten().to_numpy()[here]
+                for some in kept:
+                    some.add(ids, *hits)
+        for _, kept in asked.values():
+            for some in kept:
+                if len(some.at):
+                    yield some.rows()
 
     return pairs.select(*names).mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
