@@ -105,23 +105,27 @@ def candidates(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataF
     return pairs.select("ids", "rows", "query_ids", "queries").mapInArrow(search, f"query_id {query_kind}, id {id_kind}, score double")
 
 
-def counted(rows: DataFrame, words: str, keep: Sequence[str]) -> DataFrame:
-    """``terms``, the distinct ``words`` (an array) of each row, how often each stands there (``tfs``), and ``len``, beside the columns ``keep``."""
+def counted(rows: DataFrame, words: str, keep: Sequence[str], block: int | None = None) -> DataFrame:
+    """``terms``, the distinct ``words`` (an array) of each row, how often each stands there (``tfs``), and ``len``, beside the columns ``keep``; with ``block`` as ``packed`` over so many rows."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                part = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, block or 512):
+                part = whole.slice(lo, block or 512)
                 lists = part.column(words)
                 coded = lists.flatten().dictionary_encode()
                 some = max(len(coded.dictionary), 1)
                 marks, tfs = np.unique(pa.compute.list_parent_indices(lists).to_numpy() * some + coded.indices.to_numpy(), return_counts=True)
                 ends = pa.array(np.searchsorted(marks, np.arange(part.num_rows + 1) * some).astype(np.int32))
                 own = [pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(marks % some))), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *own, pa.compute.list_value_length(lists)], names=[*keep, "terms", "tfs", "len"])
+                columns = [*[part.column(c) for c in keep], *own, pa.compute.list_value_length(lists)]
+                if block:
+                    columns = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([c])) for c in columns]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "terms", "tfs", "len"])
 
-    out = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "terms array<string>, tfs array<int>, len int"])
+    kinds = {c: kinds[c] for c in keep} | {"terms": "array<string>", "tfs": "array<int>", "len": "int"}
+    out = ", ".join(f"`{c}` array<{kind}>" if block else f"`{c}` {kind}" for c, kind in kinds.items())
     return rows.select(*keep, words).mapInArrow(count, out)
 
 
